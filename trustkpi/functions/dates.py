@@ -7,35 +7,35 @@ from pyspark.sql import functions as F
 
 from trustkpi.functions.text import as_column
 
+# Years a nanosecond timestamp covers in full, 1678 to 2261.
+_YEAR = r"(167[89]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[01])"
 _TIME = r"([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?"
 _OPTIONAL_TIME = "[ H:mm[:ss][.SSSSSSSSS][.SSSSSS][.SSS]]"
 
 # Fixed values: (shape of the text, patterns to try in order). One shape test
 # picks the patterns, so a value is not thrown at a dozen failing parsers.
 DATE_SHAPES = [
-    (rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{_TIME}$", ["yyyy-M-d" + _OPTIONAL_TIME]),
-    (rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}}{_TIME}$", ["yyyy/M/d" + _OPTIONAL_TIME]),
-    (rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}}{_TIME}$", ["M/d/yyyy" + _OPTIONAL_TIME, "d/M/yyyy" + _OPTIONAL_TIME]),
-    (rf"^\d{{1,2}}-\d{{1,2}}-\d{{4}}{_TIME}$", ["M-d-yyyy" + _OPTIONAL_TIME, "d-M-yyyy" + _OPTIONAL_TIME]),
-    (rf"^\d{{1,2}}\.\d{{1,2}}\.\d{{4}}{_TIME}$", ["M.d.yyyy" + _OPTIONAL_TIME, "d.M.yyyy" + _OPTIONAL_TIME]),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", ["M/d/yy", "d/M/yy"]),
-    (r"^\d{1,2}-\d{1,2}-\d{2}$", ["M-d-yy", "d-M-yy"]),
-    (r"^\d{1,2}\.\d{1,2}\.\d{2}$", ["M.d.yy", "d.M.yy"]),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", ["MMM d, yyyy"]),
-    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", ["MMMM d, yyyy"]),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", ["d MMM yyyy"]),
-    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", ["d MMMM yyyy"]),
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", ["d-MMM-yyyy"]),
-    (r"^[A-Za-z]{3} \d{4}$", ["MMM yyyy"]),
-    (r"^[A-Za-z]{4,9} \d{4}$", ["MMMM yyyy"]),
-    (r"^\d{8}$", ["yyyyMMdd"]),
-    (r"^\d{4}-\d{1,2}$", ["yyyy-M"]),
-    (r"^\d{4}$", ["yyyy"]),
+    (rf"^{_YEAR}-\d{{1,2}}-\d{{1,2}}{_TIME}$", ["yyyy-M-d" + _OPTIONAL_TIME]),
+    (rf"^{_YEAR}/\d{{1,2}}/\d{{1,2}}{_TIME}$", ["yyyy/M/d" + _OPTIONAL_TIME]),
+    (rf"^\d{{1,2}}/\d{{1,2}}/{_YEAR}{_TIME}$", ["M/d/yyyy" + _OPTIONAL_TIME, "d/M/yyyy" + _OPTIONAL_TIME]),
+    (rf"^\d{{1,2}}-\d{{1,2}}-{_YEAR}{_TIME}$", ["M-d-yyyy" + _OPTIONAL_TIME, "d-M-yyyy" + _OPTIONAL_TIME]),
+    (rf"^\d{{1,2}}\.\d{{1,2}}\.{_YEAR}{_TIME}$", ["M.d.yyyy" + _OPTIONAL_TIME, "d.M.yyyy" + _OPTIONAL_TIME]),
+    (rf"^\d{{1,2}}/\d{{1,2}}/\d{{2}}$", ["M/d/yy", "d/M/yy"]),
+    (rf"^\d{{1,2}}-\d{{1,2}}-\d{{2}}$", ["M-d-yy", "d-M-yy"]),
+    (rf"^\d{{1,2}}\.\d{{1,2}}\.\d{{2}}$", ["M.d.yy", "d.M.yy"]),
+    (rf"^[A-Za-z]{{3}} \d{{1,2}}, {_YEAR}$", ["MMM d, yyyy"]),
+    (rf"^[A-Za-z]{{4,9}} \d{{1,2}}, {_YEAR}$", ["MMMM d, yyyy"]),
+    (rf"^\d{{1,2}} [A-Za-z]{{3}} {_YEAR}$", ["d MMM yyyy"]),
+    (rf"^\d{{1,2}} [A-Za-z]{{4,9}} {_YEAR}$", ["d MMMM yyyy"]),
+    (rf"^\d{{1,2}}-[A-Za-z]{{3}}-{_YEAR}$", ["d-MMM-yyyy"]),
+    (rf"^[A-Za-z]{{3}} {_YEAR}$", ["MMM yyyy"]),
+    (rf"^[A-Za-z]{{4,9}} {_YEAR}$", ["MMMM yyyy"]),
+    (rf"^{_YEAR}\d{{4}}$", ["yyyyMMdd"]),
+    (rf"^{_YEAR}-\d{{1,2}}$", ["yyyy-M"]),
+    (rf"^{_YEAR}$", ["yyyy"]),
 ]
-_ZONED = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})$"
-_QUARTER = r"^(\d{4})[- ]?[Qq]([1-4])$"
-# Range a nanosecond timestamp covers, in whole years.
-_FIRST_YEAR, _LAST_YEAR = 1678, 2261
+_ZONED = rf"^{_YEAR}-\d{{2}}-\d{{2}}[ T]\d{{2}}:\d{{2}}(:\d{{2}}(\.\d{{1,9}})?)?(Z|[+-]\d{{2}}:?\d{{2}})$"
+_QUARTER = rf"^{_YEAR}[- ]?[Qq]([1-4])$"
 
 
 def parse_date(c: Column | str) -> Column:
@@ -55,5 +55,4 @@ def parse_date(c: Column | str) -> Column:
         ),
         F.lit("yyyy-M"),
     )
-    parsed = parsed.when(raw.rlike(_QUARTER), quarter)
-    return F.when(F.year(parsed).between(_FIRST_YEAR, _LAST_YEAR), parsed)
+    return parsed.when(raw.rlike(_QUARTER), quarter)

@@ -214,7 +214,8 @@ def forecast(df: DataFrame, freq: str = "W", keys: Keys = ()) -> DataFrame:
         "_i", ((F.col("_ix") - F.col("_first")) / p.multiple).cast("double")
     )
     n = F.count(F.lit(1))
-    line = F.regr_slope("revenue", "_i") * n + F.regr_intercept("revenue", "_i")
+    slope = F.try_divide(F.covar_pop("revenue", "_i"), F.var_pop("_i"))
+    line = F.avg("revenue") + slope * (n - F.avg("_i"))
     return numbered.groupBy(*cols(keys)).agg(
         n.alias("period_count"), F.round(line, 2).alias("forecast_next_period_revenue")
     )
