@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,6 +76,17 @@ def quoted_list(c: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 
+def fill(template: str, **values: Column) -> Column:
+    """Text template with columns for its ``{names}``."""
+    parts = []
+    for literal, name, _, _ in Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if name:
+            parts.append(values[name].cast("string"))
+    return F.concat(*parts)
+
+
 def first_sentences(c: Column | str, limit: int = 1) -> Column:
     """First sentences, cut after a full stop, exclamation or question mark."""
     parts = F.transform(F.split(as_column(c), r"(?<=[.!?])\s+"), F.trim)
