@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,18 @@ from trustkpi.operators.keyed import Keys, cols
 from trustkpi.sources.csvs import with_text_dates
 
 REPORT_ID = "report_id"
+REPORT_TYPE = (
+    "report_id string, app_name string, prompt string, share_url string, saved_at string, "
+    "data_storage struct<mode:string,raw_csv_stored:boolean>, status string, reason string, "
+    "confidence double, quality_score double, duplicate_percent double, date_col string, "
+    "revenue_col string, category_col string, region_col string, total_revenue double, "
+    "growth_rate double, average_revenue double, "
+    "anomalies struct<count:int,dates:array<string>,z_scores:map<string,double>>, "
+    "period_count bigint, title string, summary string, "
+    "insights array<struct<title:string,body:string,tone:string>>, "
+    "story array<struct<id:string,eyebrow:string,headline:string,copy:string,chart_id:string>>, "
+    "suggested_questions array<string>, warnings array<string>, row_count bigint"
+)
 
 
 def clean_report_id(value: Column) -> Column:
@@ -72,19 +85,25 @@ def _one_id(report_id: str) -> str:
     return cleaned
 
 
-def load_report(spark: SparkSession, path: str, report_id: str) -> DataFrame:
-    """Stored report row; the filter prunes to one partition folder."""
-    wanted = _one_id(report_id)
-    return spark.read.option("inferTimestamp", False).json(path).where(
-        F.col(REPORT_ID).cast("string") == wanted
-    )
+def _one_folder(path: str, report_id: str) -> str:
+    return f"{path.rstrip('/')}/{REPORT_ID}={_one_id(report_id)}"
+
+
+def load_report(spark: SparkSession, path: str, report_id: str, schema: str = REPORT_TYPE) -> DataFrame:
+    """Stored report row; only that report's folder is listed and read."""
+    try:
+        return spark.read.schema(schema).option("basePath", path).json(_one_folder(path, report_id))
+    except AnalysisException as exc:
+        raise FileNotFoundError(report_id) from exc
 
 
-def load_records(spark: SparkSession, path: str, report_id: str | None = None) -> DataFrame:
-    rows = spark.read.json(path)
-    if report_id is not None:
-        rows = rows.where(F.col(REPORT_ID).cast("string") == _one_id(report_id))
-    return restore_types(rows)
+def load_records(spark: SparkSession, path: str, report_id: str) -> DataFrame:
+    """Typed records of one stored report."""
+    try:
+        rows = spark.read.json(_one_folder(path, report_id))
+    except AnalysisException as exc:
+        raise FileNotFoundError(report_id) from exc
+    return restore_types(rows.withColumn(REPORT_ID, F.lit(_one_id(report_id))))
 
 
 def read_record_files(spark: SparkSession, path: str) -> DataFrame:
