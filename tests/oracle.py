@@ -39,9 +39,9 @@ def plain(value):
         return "nan" if math.isnan(value) else (value + 0.0)
     if isinstance(value, bool) or value is None:
         return value
-    if isinstance(value, int):
-        return float(value) if abs(value) < 2**53 else value
-    return value if isinstance(value, str) else str(value)
+    if isinstance(value, (int, str)):
+        return value
+    return f"{type(value).__name__}:{value}"
 
 
 def rows_of(columns, rows):

@@ -10,6 +10,7 @@ from trustkpi.functions.text import as_column
 # Years a nanosecond timestamp covers in full, 1678 to 2261.
 _YEAR = r"(167[89]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[01])"
 _TIME = r"([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?"
+_HALF_DAY = r" \d{1,2}:\d{2}(:\d{2})? [AaPp][Mm]"
 _OPTIONAL_TIME = "[ H:mm[:ss][.SSSSSSSSS][.SSSSSS][.SSS]]"
 
 # Fixed values: (shape of the text, patterns to try in order). One shape test
@@ -20,11 +21,13 @@ DATE_SHAPES = [
     (rf"^\d{{1,2}}/\d{{1,2}}/{_YEAR}{_TIME}$", ["M/d/yyyy" + _OPTIONAL_TIME, "d/M/yyyy" + _OPTIONAL_TIME]),
     (rf"^\d{{1,2}}-\d{{1,2}}-{_YEAR}{_TIME}$", ["M-d-yyyy" + _OPTIONAL_TIME, "d-M-yyyy" + _OPTIONAL_TIME]),
     (rf"^\d{{1,2}}\.\d{{1,2}}\.{_YEAR}{_TIME}$", ["M.d.yyyy" + _OPTIONAL_TIME, "d.M.yyyy" + _OPTIONAL_TIME]),
+    (rf"^{_YEAR}-\d{{1,2}}-\d{{1,2}}{_HALF_DAY}$", ["yyyy-M-d h:mm[:ss] a"]),
+    (rf"^\d{{1,2}}/\d{{1,2}}/{_YEAR}{_HALF_DAY}$", ["M/d/yyyy h:mm[:ss] a", "d/M/yyyy h:mm[:ss] a"]),
     (rf"^\d{{1,2}}/\d{{1,2}}/\d{{2}}$", ["M/d/yy", "d/M/yy"]),
     (rf"^\d{{1,2}}-\d{{1,2}}-\d{{2}}$", ["M-d-yy", "d-M-yy"]),
     (rf"^\d{{1,2}}\.\d{{1,2}}\.\d{{2}}$", ["M.d.yy", "d.M.yy"]),
-    (rf"^[A-Za-z]{{3}} \d{{1,2}}, {_YEAR}$", ["MMM d, yyyy"]),
-    (rf"^[A-Za-z]{{4,9}} \d{{1,2}}, {_YEAR}$", ["MMMM d, yyyy"]),
+    (rf"^[A-Za-z]{{3}} \d{{1,2}},? {_YEAR}$", ["MMM d[,] yyyy"]),
+    (rf"^[A-Za-z]{{4,9}} \d{{1,2}},? {_YEAR}$", ["MMMM d[,] yyyy"]),
     (rf"^\d{{1,2}} [A-Za-z]{{3}} {_YEAR}$", ["d MMM yyyy"]),
     (rf"^\d{{1,2}} [A-Za-z]{{4,9}} {_YEAR}$", ["d MMMM yyyy"]),
     (rf"^\d{{1,2}}-[A-Za-z]{{3}}-{_YEAR}$", ["d-MMM-yyyy"]),
@@ -35,18 +38,26 @@ DATE_SHAPES = [
     (rf"^{_YEAR}$", ["yyyy"]),
 ]
 _ZONED = rf"^{_YEAR}-\d{{2}}-\d{{2}}[ T]\d{{2}}:\d{{2}}(:\d{{2}}(\.\d{{1,9}})?)?(Z|[+-]\d{{2}}:?\d{{2}})$"
+_WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +"
 _QUARTER = rf"^{_YEAR}[- ]?[Qq]([1-4])$"
 
 
 def parse_date(c: Column | str) -> Column:
-    """Timestamp from text in any known format, month first where ambiguous, else NULL."""
-    text = F.regexp_replace(F.trim(as_column(c)), "T", " ")
-    raw = F.trim(as_column(c))
+    """Timestamp from text in any known format, month first where ambiguous, else NULL.
+
+    Two-digit years from 69 on lie in the 1900s.
+    """
+    raw = F.regexp_replace(F.trim(as_column(c)), _WEEKDAY, "")
+    text = F.regexp_replace(raw, "T", " ")
     parsed = F.when(raw.rlike(_ZONED), raw.try_cast("timestamp"))
     for shape, patterns in DATE_SHAPES:
         subject = text if "[ T]" in shape else raw
         attempts = [F.try_to_timestamp(subject, F.lit(p)) for p in patterns]
-        parsed = parsed.when(raw.rlike(shape), F.coalesce(*attempts))
+        value = F.coalesce(*attempts)
+        if "yy" in patterns[0] and "yyyy" not in patterns[0]:
+            late = F.year(value) >= 2069
+            value = F.when(late, value - F.expr("INTERVAL 100 YEAR")).otherwise(value)
+        parsed = parsed.when(raw.rlike(shape), value)
     quarter = F.try_to_timestamp(
         F.concat_ws(
             "-",

@@ -64,6 +64,10 @@ _CATEGORY = (
 )
 _REGION = "CASE id % 3 WHEN 0 THEN lower(region) WHEN 1 THEN ' ' || region || '  ' ELSE region END"
 _COPY_REGION = "CASE WHEN copy = 2 THEN upper(region) ELSE " + _REGION + " END"
+# Whole cents times a decimal cent, so no engine has to round.
+_PRICE = (
+    "cast(cast(floor({v} * 100 / (1 + id % 9)) AS decimal(18,0)) * cast('0.01' AS decimal(3,2)) AS {text})"
+)
 _DATE = "CASE id % 3 WHEN 0 THEN {iso} WHEN 1 THEN {us} ELSE {words} END"
 
 
@@ -75,7 +79,7 @@ def raw_sales(spark, folder, holes: bool) -> DataFrame:
     base = sales(spark, folder).selectExpr(
         "id", "segment AS dataset", "date", "category", "region",
         "cast(cast(revenue AS decimal(18,2)) AS string) AS amount",
-        "cast(cast(revenue / (1 + id % 9) AS decimal(18,4)) AS string) AS price",
+        _PRICE.format(v="revenue", text="string") + " AS price",
         "explode(CASE WHEN id % 40 = 0 THEN array(1, 2) ELSE array(1) END) AS copy",
     )
     flag = "true" if holes else "false"
@@ -107,7 +111,7 @@ SELECT id * 2 + copy AS _pos, dataset, {date} AS "order date",
        cast(NULL AS varchar) AS notes
 FROM (SELECT id, k AS dataset, d, category, region,
              cast(cast(v AS decimal(18,2)) AS varchar) AS amount,
-             cast(cast(v / (1 + id % 9) AS decimal(18,4)) AS varchar) AS price,
+             {_PRICE.format(v="v", text="varchar")} AS price,
              unnest(CASE WHEN id % 40 = 0 THEN [1, 2] ELSE [1] END) AS copy
       FROM ({SALES_SQL}))
 """
@@ -133,7 +137,8 @@ def label_sql(e: str) -> str:
 
 def number_sql(e: str) -> str:
     signed = f"regexp_replace(trim({e}), '^\\((.*)\\)$', '-\\1')"
-    return f"try_cast(nullif(regexp_replace({signed}, '[^0-9.+eE\\-]', '', 'g'), '') AS double)"
+    value = f"try_cast(nullif(regexp_replace({signed}, '[^0-9.+eE\\-]', '', 'g'), '') AS double)"
+    return f"nullif(nullif({value}, cast('inf' AS double)), cast('-inf' AS double))"
 
 
 def date_sql(e: str) -> str:
