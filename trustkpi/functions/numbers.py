@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trustkpi.functions.text import as_column
+from trustkpi.functions.text import as_column, strip
 
 _INTEGER = r"^\s*[+-]?[0-9]{1,18}\s*$"
 _NUMBER = r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\s*$"
@@ -13,8 +13,7 @@ _NUMBER = r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\s*$"
 
 def parse_number(c: Column | str) -> Column:
     """Number in loosely written text, else NULL: ``$1,234.50``, ``(12)``, ``10%``."""
-    trimmed = F.regexp_replace(as_column(c), r"(?U)^\s+|\s+$", "")
-    signed = F.regexp_replace(trimmed, r"^\((.*)\)$", "-$1")
+    signed = F.regexp_replace(strip(c), r"^\((.*)\)$", "-$1")
     digits = F.regexp_replace(signed, r"[^0-9.+eE\-]", "")
     value = F.nullif(digits, F.lit("")).try_cast("double")
     return F.when(F.abs(value) < float("inf"), value)

@@ -12,6 +12,7 @@ from trustkpi import fixed
 
 # Java's Unicode white space plus the four separators Python also strips.
 _SPACES = r"(?U)[\s\x1c-\x1f]+"
+_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 _CASED = r"\p{IsLowercase}\p{IsUppercase}\p{IsTitlecase}"
 
 
@@ -31,6 +32,11 @@ def normalize_text(c: Column | str) -> Column:
     return F.nullif(F.trim(collapsed), F.lit(""))
 
 
+def strip(c: Column | str) -> Column:
+    """Text without white space at either end."""
+    return F.regexp_replace(as_column(c), _EDGES, "")
+
+
 def is_blank(c: Column | str) -> Column:
     return normalize_text(c).isNull()
 
@@ -60,7 +66,20 @@ def currency_text(c: Column | str) -> Column:
 
 def percent_text(c: Column | str) -> Column:
     c = as_column(c)
-    return F.when(c.isNull(), fixed.UNAVAILABLE).otherwise(F.format_string("%.2f%%", c))
+    return F.coalesce(F.concat(decimals(c, "0.00"), F.lit("%")), F.lit(fixed.UNAVAILABLE))
+
+
+def decimals(c: Column, pattern: str) -> Column:
+    """Number text by pattern, rounded half-even on the exact binary value."""
+    return F.call_function("format_number", c, F.lit(pattern))
+
+
+def one_decimal(c: Column) -> Column:
+    """One decimal with exact ties (x.25) away from zero."""
+    size = F.abs(c)
+    tie = F.pmod(size * 4, F.lit(4.0)) == 1.0
+    sign = F.when(c < 0, "-").otherwise("")
+    return F.concat(sign, decimals(F.when(tie, size + 0.01).otherwise(size), "0.0"))
 
 
 def plain_number(c: Column | str) -> Column:
@@ -89,15 +108,14 @@ def fill(template: str, **values: Column) -> Column:
 
 def first_sentences(c: Column | str, limit: int = 1) -> Column:
     """First sentences, cut after a full stop, exclamation or question mark."""
-    parts = F.transform(F.split(as_column(c), r"(?<=[.!?])\s+"), F.trim)
+    parts = F.transform(F.split(as_column(c), r"(?<=[.!?])\s+"), strip)
     kept = F.filter(parts, lambda s: s != "")
     return F.coalesce(F.slice(kept, 1, limit), F.array().cast("array<string>"))
 
 
 def within_length(c: Column | str, limit: int) -> Column:
     """Text is usable when, trimmed, it is non-empty and at most ``limit`` long."""
-    trimmed = F.regexp_replace(as_column(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-    return F.coalesce(F.length(trimmed).between(1, limit), F.lit(False))
+    return F.coalesce(F.length(strip(c)).between(1, limit), F.lit(False))
 
 
 def card_text(value: Column | str, kind: Column | str) -> Column:
@@ -109,7 +127,7 @@ def card_text(value: Column | str, kind: Column | str) -> Column:
     return (
         F.when(value.isNull(), "N/A")
         .when(kind == "currency", money)
-        .when(kind == "percent", F.format_string("%.1f%%", value))
+        .when(kind == "percent", F.concat(one_decimal(value), F.lit("%")))
         .when(kind == "count", F.format_number(value, 0))
         .otherwise(value.cast("string"))
     )

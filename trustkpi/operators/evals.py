@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustkpi import fixed
+from trustkpi.functions.text import strip
 from trustkpi.operators.ranking import running_totals
 
 # Arguments stay texts by name, so any JSON value a model writes is kept.
@@ -18,9 +19,7 @@ _EMPTY = ["", "[]", "{}", "0", "0.0", "false"]
 
 def strip_fences(text: Column) -> Column:
     """Text without a leading code fence (with optional ``json``) or a trailing one."""
-    trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    bare = F.regexp_replace(trimmed, r"^```(json)?|```$", "")
-    return F.regexp_replace(bare, r"(?U)^\s+|\s+$", "")
+    return strip(F.regexp_replace(strip(text), r"^```(json)?|```$", ""))
 
 
 def parse_calls(text: Column) -> Column:

@@ -206,8 +206,9 @@ def choose_texts(supplied: DataFrame, facts: DataFrame, keys: Keys) -> DataFrame
     """Supplied report texts where usable, otherwise the deterministic ones."""
     own = ["title", "summary", "insights", "story", "suggested_questions", "warnings"]
     base = facts.select(*cols(keys), *[F.col(c).alias(f"_f_{c}") for c in own])
-    wide = attach(supplied, base, keys)
-    generic = is_generic(F.col("summary"), F.col("story"))
+    # Computed before the projection that reuses these names: inside lambdas a
+    # name would be taken for the new column of the same projection.
+    wide = attach(supplied, base, keys).withColumn("_generic", is_generic(F.col("summary"), F.col("story")))
 
     def usable(c: str) -> Column:
         if c in ("title", "summary"):
@@ -218,7 +219,7 @@ def choose_texts(supplied: DataFrame, facts: DataFrame, keys: Keys) -> DataFrame
     for c in own[:-1]:
         value = usable(c)
         if c in ("summary", "insights", "story"):
-            value = F.when(~generic, value)
+            value = F.when(~F.col("_generic"), value)
         chosen.append(F.coalesce(value, F.col(f"_f_{c}")).alias(c))
     merged = F.array_distinct(F.concat(_or_empty(F.col("warnings")), _or_empty(F.col("_f_warnings"))))
     return wide.select(*cols(keys), *chosen, merged.alias("warnings"))
@@ -269,7 +270,8 @@ def with_defaults(report: DataFrame, keys: Keys = ()) -> DataFrame:
     row_count, row_count_after_cleaning and first_chart.
     """
     failed = F.col("status").eqNullSafe(F.lit("failed"))
-    shown = display_warnings(F.col("warnings"))
+    report = report.withColumn("_shown", display_warnings(F.col("warnings")))
+    shown = F.col("_shown")
     reason = F.nullif(F.col("reason"), F.lit(""))
 
     def by_status(gate: Column | str, normal: str) -> Column:
@@ -311,3 +313,33 @@ def insight_export(report: DataFrame, keys: Keys = ()) -> DataFrame:
     return report.select(
         *cols(keys), F.to_json(F.struct("title", "summary", "insights", "story")).alias("payload")
     )
+
+
+def dataset_context(schema: DataFrame, status: DataFrame, preview_rows: DataFrame, keys: Keys = ()) -> DataFrame:
+    """Schema, preview, quality and warnings of a dataset in one row.
+
+    ``preview_rows`` holds at most the preview limit of rows per key.
+    """
+    shown = [c for c in preview_rows.columns if c not in keys]
+    first = preview_rows.groupBy(*cols(keys)).agg(
+        F.collect_list(F.to_json(F.struct(*cols(shown)))).alias("preview")
+    )
+    roles = schema.select(
+        *cols(keys), F.struct(*cols([c for c in schema.columns if c not in keys])).alias("schema")
+    )
+    trust = status.select(
+        *cols(keys),
+        F.struct(
+            "duplicate_rows", "duplicate_percent", "missing_values", "invalid_numeric", "negative_revenue",
+            "quality_score", "row_count_before_cleaning", "row_count_after_cleaning",
+        ).alias("quality_report"),
+        "warnings",
+    )
+    return attach(attach(trust, roles, keys), first, keys)
+
+
+def report_context(report: DataFrame, keys: Keys = ()) -> DataFrame:
+    """What a question about a stored report may use."""
+    kept = ["summary", "quality_score", "duplicate_percent", "total_revenue", "growth_rate", "average_revenue",
+            "anomalies", "insights", "story"]
+    return report.select(*cols(keys), F.struct(*kept).alias("context"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustkpi import fixed
-from trustkpi.functions.text import within_length
+from trustkpi.functions.text import strip, within_length
 
 _REQUEST = "jsonrpc string, id string, method string, params struct<name:string,arguments:string>"
 LIVE_TOOLS = ["calculate_kpis", "generate_chart", "generate_chart_set"]
@@ -14,7 +14,7 @@ LIVE_TOOLS = ["calculate_kpis", "generate_chart", "generate_chart_set"]
 
 def usable_texts(requests: DataFrame, text: str, limit: int) -> tuple[DataFrame, DataFrame]:
     """Requests with a usable text, and the rejected ones with the reason."""
-    trimmed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)^\s+|\s+$", "")
+    trimmed = strip(F.coalesce(F.col(text), F.lit("")))
     good = requests.where(within_length(text, limit)).withColumn(text, trimmed)
     bad = requests.where(~within_length(text, limit)).withColumn(
         "reject_reason", F.when(F.length(trimmed) == 0, "empty").otherwise("too long")

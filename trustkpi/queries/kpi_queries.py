@@ -148,7 +148,7 @@ cards AS (
     CASE WHEN anomaly_count > 0 THEN 'downward' ELSE 'upward' END FROM base)
 SELECT *, CASE kind WHEN 'currency' THEN (CASE WHEN round(value) < 0 THEN '-$' ELSE '$' END)
       || format('{{:,.0f}}', abs(round(value)))
-    WHEN 'percent' THEN printf('%.1f', round(value, 1)) || '%' ELSE format('{{:,.0f}}', value) END AS text FROM cards"""
+    WHEN 'percent' THEN printf('%.1f', CASE WHEN (abs(value) * 4) % 4 = 1 THEN value + sign(value) * 0.01 ELSE value END) || '%' ELSE format('{{:,.0f}}', value) END AS text FROM cards"""
 
 
 def last_delta(spark, folder):
