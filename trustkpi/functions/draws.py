@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trustkpi.functions.text import text_array
+
 
 def _digest(row_id: Column, seed: int, slot: str | Column) -> Column:
     slot = F.lit(slot) if isinstance(slot, str) else slot
@@ -40,7 +42,7 @@ def choice(row_id: Column, seed: int, slot: str, values: Column) -> Column:
 def sample(row_id: Column, seed: int, slot: str, values: Sequence[str], size: Column) -> Column:
     """``size`` of the values without replacement, in draw order."""
     keyed = F.transform(
-        F.array(*[F.lit(v) for v in values]),
+        text_array(list(values)),
         lambda v: F.struct(_digest(row_id, seed, F.concat(F.lit(slot), F.lit(":"), v)).alias("d"), v.alias("v")),
     )
     return F.transform(F.slice(F.array_sort(keyed), F.lit(1), size), lambda s: s["v"])

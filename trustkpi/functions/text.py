@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from trustkpi import fixed
 
-# Java's Unicode white space plus the four separators Python also strips.
-_SPACES = r"(?U)[\s\x1c-\x1f]+"
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# The white space characters that Unicode text handling strips.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_SPACES = SPACE + "+"
+_UNTIDY = r"[^\x21-\x7e ]|^ | $|  |^$"
+_EDGES = f"^{SPACE}+|{SPACE}+$"
 _CASED = r"\p{IsLowercase}\p{IsUppercase}\p{IsTitlecase}"
 
 
@@ -20,6 +22,12 @@ def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def text_array(values: list[str]) -> Column:
+    """Array literal of texts."""
+    quoted = ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values]
+    return F.expr("array(" + ", ".join(quoted) + ")")
+
+
 def clean_header(name: str) -> str:
     """Lower-case header with dashes, underscores and runs of blanks as one blank."""
     dashed = re.sub(r"[_\-]+", " ", str(name).strip().lower())
@@ -28,8 +36,10 @@ def clean_header(name: str) -> str:
 
 def normalize_text(c: Column | str) -> Column:
     """Trim, collapse white space, turn blank into NULL."""
-    collapsed = F.regexp_replace(as_column(c), _SPACES, " ")
-    return F.nullif(F.trim(collapsed), F.lit(""))
+    c = as_column(c)
+    collapsed = F.nullif(F.trim(F.regexp_replace(c, _SPACES, " ")), F.lit(""))
+    # Most values need no change; one search finds the others.
+    return F.when(c.rlike(_UNTIDY), collapsed).otherwise(c)
 
 
 def strip(c: Column | str) -> Column:

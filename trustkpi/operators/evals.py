@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trustkpi import fixed
 from trustkpi.functions.text import strip
 from trustkpi.operators.ranking import running_totals
+from trustkpi.session import stage
 
 # Arguments stay texts by name, so any JSON value a model writes is kept.
 _CALLS = (
@@ -139,8 +140,9 @@ def running_compliance(scored: DataFrame, position: str, every: int = 25) -> Dat
 
     ``position`` is a unique non-negative whole number; it need not be dense.
     """
+    # Staged: the totals read these two columns once per level.
     marked = running_totals(
-        scored.select(position, "compliant"),
+        stage(scored.select(position, "compliant"), "compliance"),
         position,
         {"seen": F.lit(1), "good": F.col("compliant").cast("int")},
     )

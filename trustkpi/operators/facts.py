@@ -13,6 +13,7 @@ from trustkpi.functions.text import (
     percent_text,
     plain_number,
     quoted_list,
+    text_array,
     within_length,
 )
 from trustkpi.operators.charts import chart_insights
@@ -22,10 +23,6 @@ from trustkpi.operators.quality import display_warnings
 _NO_TEXTS = "array<string>"
 
 
-def _texts(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def _or_empty(c: Column) -> Column:
     return F.coalesce(c, F.array().cast(_NO_TEXTS))
 
@@ -148,7 +145,7 @@ def fact_report(inputs: DataFrame, keys: Keys = ()) -> DataFrame:
         summary(v).alias("summary"),
         insights(v).alias("insights"),
         story(v).alias("story"),
-        _texts(fixed.REPORT_QUESTIONS).alias("suggested_questions"),
+        text_array(fixed.REPORT_QUESTIONS).alias("suggested_questions"),
         "warnings",
     )
 
@@ -182,7 +179,7 @@ def answer_questions(questions: DataFrame, reports: DataFrame) -> DataFrame:
         "report_id",
         "message",
         F.when(failed, fixed.GATE_CHAT_ANSWER).otherwise(chat_answer()).alias("answer"),
-        F.when(failed, F.array().cast(_NO_TEXTS)).otherwise(_texts(fixed.CHAT_QUESTIONS)).alias("follow_ups"),
+        F.when(failed, F.array().cast(_NO_TEXTS)).otherwise(text_array(fixed.CHAT_QUESTIONS)).alias("follow_ups"),
     )
 
 
@@ -199,7 +196,7 @@ def is_generic(summary_text: Column, story_chapters: Column) -> Column:
 
 
 def _has_marker(low: Column) -> Column:
-    return F.exists(_texts(fixed.GENERIC_MARKERS), lambda m: F.contains(low, m))
+    return F.exists(text_array(fixed.GENERIC_MARKERS), lambda m: F.contains(low, m))
 
 
 def choose_texts(supplied: DataFrame, facts: DataFrame, keys: Keys) -> DataFrame:
@@ -297,7 +294,7 @@ def with_defaults(report: DataFrame, keys: Keys = ()) -> DataFrame:
         F.coalesce(F.nullif("summary", F.lit("")), by_status(gate_summary, fixed.DEFAULT_SUMMARY)).alias("summary"),
         F.coalesce("insights", as_insights).alias("insights"),
         F.coalesce("story", F.array(chapter)).alias("story"),
-        F.coalesce("suggested_questions", _texts(fixed.DEFAULT_QUESTIONS)).alias("suggested_questions"),
+        F.coalesce("suggested_questions", text_array(fixed.DEFAULT_QUESTIONS)).alias("suggested_questions"),
         shown.alias("warnings"),
         F.coalesce("row_count", "row_count_after_cleaning", F.lit(0)).alias("row_count"),
     )
@@ -305,7 +302,7 @@ def with_defaults(report: DataFrame, keys: Keys = ()) -> DataFrame:
 
 def panel_questions(given: Column) -> Column:
     """Three fixed questions plus the given ones, distinct, at most six."""
-    return F.slice(F.array_distinct(F.concat(_texts(fixed.PANEL_QUESTIONS), _or_empty(given))), 1, 6)
+    return F.slice(F.array_distinct(F.concat(text_array(fixed.PANEL_QUESTIONS), _or_empty(given))), 1, 6)
 
 
 def insight_export(report: DataFrame, keys: Keys = ()) -> DataFrame:

@@ -21,10 +21,9 @@ def profile(cleaned: DataFrame, keys: Keys = ()) -> DataFrame:
     n, v = F.col("n"), F.col("value")
     parsed = values.select(
         "*",
-        dates.parse_date(v).isNotNull().alias("is_date"),
         numbers.parse_number(v).isNotNull().alias("is_number"),
         numbers.looks_number(v).alias("strict"),
-    )
+    ).withColumn("is_date", ~F.col("strict") & dates.parse_date(v).isNotNull())
     counts = parsed.groupBy(*cols(keys), "column").agg(
         F.sum(n).alias("rows"),
         F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0)).alias("non_null"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trustkpi import fixed
 from trustkpi.functions.numbers import parse_number
+from trustkpi.functions.text import text_array
 from trustkpi.operators.clean import COPIES, POSITION
 from trustkpi.operators.keyed import Keys, attach, cols, data_columns
 from trustkpi.operators.profile import profile
@@ -18,7 +19,7 @@ ROLES = ["date", "revenue", "category", "region", "price", "quantity"]
 def name_bonus(name: Column, hints: list[str]) -> Column:
     """0.12 for every hint word in a clean header, at most 0.25."""
     words = F.split(name, " ")
-    return F.least(F.lit(0.25), F.size(F.array_intersect(words, F.array(*map(F.lit, hints)))) * F.lit(0.12))
+    return F.least(F.lit(0.25), F.size(F.array_intersect(words, text_array(hints))) * F.lit(0.12))
 
 
 def _capped(value: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trustkpi import fixed
 from trustkpi.functions import draws
-from trustkpi.functions.text import fill
+from trustkpi.functions.text import fill, text_array
 from trustkpi.operators.ranking import take_lowest
 
 SEED, SPLIT_SEED, BLEND_SEED = 42, 7, 11
@@ -31,10 +31,6 @@ KINDS = {
 }
 
 
-def _texts(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def _by_kind(what: dict[str, Column | int | str]) -> Column:
     out = None
     for kind, value in what.items():
@@ -48,7 +44,7 @@ def header_variants() -> Column:
     pairs = []
     for m in fixed.METRIC_NAMES:
         variants = fixed.METRIC_VARIANTS.get(m, [m.upper(), m.title(), f"{m}_$"])
-        pairs += [F.lit(m), _texts(variants)]
+        pairs += [F.lit(m), text_array(variants)]
     return F.create_map(*pairs)
 
 
@@ -70,8 +66,8 @@ def generate(ids: DataFrame, id_col: str, seed: int = SEED) -> DataFrame:
         _by_kind({k: v["difficulty"] for k, v in KINDS.items()}).alias("difficulty"),
         noisy.alias("_noisy"),
         draws.between(i, seed, "n_metrics", low, high).alias("_n"),
-        draws.choice(i, seed, "date", _texts(fixed.DATE_HEADERS)).alias("_date"),
-        draws.choice(i, seed, "group", _texts(fixed.CATEGORY_HEADERS)).alias("_group"),
+        draws.choice(i, seed, "date", text_array(fixed.DATE_HEADERS)).alias("_date"),
+        draws.choice(i, seed, "group", text_array(fixed.CATEGORY_HEADERS)).alias("_group"),
         draws.between(
             i, seed, "n_noise", 1, F.when(F.col("category") == "adversarial", 3).otherwise(2)
         ).alias("_k"),
@@ -82,7 +78,7 @@ def generate(ids: DataFrame, id_col: str, seed: int = SEED) -> DataFrame:
                 for n in range(4)
             ]
         ).alias("_suffix"),
-        draws.choice(i, seed, "chart_type", _texts(fixed.CHART_TYPES)).alias("_chart"),
+        draws.choice(i, seed, "chart_type", text_array(fixed.CHART_TYPES)).alias("_chart"),
     )
     sampled = drawn.select(
         "*", draws.sample(i, seed, "metric", fixed.METRIC_NAMES, F.col("_n")).alias("_metrics")
@@ -135,13 +131,13 @@ def generate(ids: DataFrame, id_col: str, seed: int = SEED) -> DataFrame:
 
 def _query(seed: int) -> Column:
     i = F.col("id")
-    kpi = draws.choice(i, seed, "template", _texts(fixed.KPI_TEMPLATES))
-    chart = draws.choice(i, seed, "template", _texts(fixed.CHART_TEMPLATES))
+    kpi = draws.choice(i, seed, "template", text_array(fixed.KPI_TEMPLATES))
+    chart = draws.choice(i, seed, "template", text_array(fixed.CHART_TEMPLATES))
     template = _by_kind(
         {
             "clean": kpi, "noisy": kpi, "adversarial": kpi, "chart_only": chart,
             "multi_step": F.lit(fixed.MULTI_STEP_QUERY),
-            "no_tool": draws.choice(i, seed, "template", _texts(fixed.NO_TOOL_QUERIES)),
+            "no_tool": draws.choice(i, seed, "template", text_array(fixed.NO_TOOL_QUERIES)),
         }
     )
     named = {

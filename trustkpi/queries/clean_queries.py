@@ -27,7 +27,7 @@ _MESSY = (
 
 
 def parse_numeric(spark, folder):
-    rows = src.table(spark, folder, "lineitem").selectExpr(
+    rows = src.table(spark, folder, "lineitem", spread=True).selectExpr(
         "l_orderkey", "l_linenumber", "cast(cast(l_extendedprice AS decimal(18,2)) AS string) AS a"
     ).selectExpr("l_orderkey", "l_linenumber", "a", _MESSY + " AS t")
     return rows.select("l_orderkey", "l_linenumber", "a", F.round(numbers.parse_number("t"), 4).alias("value"))
@@ -46,7 +46,7 @@ _DATE_TEXT = (
 def parse_dates(spark, folder):
     forms = ["yyyy-MM-dd", "MM/dd/yyyy", "d MMM yyyy", "MMMM d, yyyy", "yyyyMMdd", "yyyy/M/d", "yyyy-MM-dd HH:mm:ss"]
     shown = _DATE_TEXT.format(*[f"date_format(o_orderdate, '{f}')" for f in forms])
-    rows = src.table(spark, folder, "orders").selectExpr("o_orderkey", shown + " AS t")
+    rows = src.table(spark, folder, "orders", spread=True).selectExpr("o_orderkey", shown + " AS t")
     return rows.select("o_orderkey", F.to_date(dates.parse_date("t")).alias("parsed"))
 
 
@@ -67,7 +67,7 @@ def title_labels(spark, folder):
 
 
 def normalize_documents(spark, folder):
-    rows = src.table(spark, folder, "documents").select("doc_id", text.normalize_text("text").alias("t"))
+    rows = src.table(spark, folder, "documents", spread=True).select("doc_id", text.normalize_text("text").alias("t"))
     return rows.select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("bigint").alias("chars"))
 
 
@@ -281,7 +281,7 @@ def duplicates(spark, folder):
 
 def duplicate_documents(spark, folder):
     """Exact copies among whole texts, per source, after white-space normalisation."""
-    rows = src.table(spark, folder, "documents").select("source", "lang", text.normalize_text("text").alias("text"))
+    rows = src.table(spark, folder, "documents", spread=True).select("source", "lang", text.normalize_text("text").alias("text"))
     return clean.duplicate_summary(clean.drop_duplicates(rows, ["source"]), ["source"])
 
 

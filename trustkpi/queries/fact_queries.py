@@ -192,7 +192,7 @@ FROM asked JOIN ans ON report_id = k"""
 
 def first_sentences(spark, folder):
     """First three sentences of whole documents."""
-    rows = src.table(spark, folder, "documents").select("doc_id", text.first_sentences("text", 3).alias("s"))
+    rows = src.table(spark, folder, "documents", spread=True).select("doc_id", text.first_sentences("text", 3).alias("s"))
     return rows.select(
         "doc_id", F.size("s").cast("bigint").alias("n"), F.md5(F.array_join("s", "\n")).alias("digest")
     )

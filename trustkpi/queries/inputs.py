@@ -14,9 +14,18 @@ SALES_KEY = ["dataset"]
 SALES_COLUMNS = ["order date", "net revenue", "product category", "region", "price", "quantity", "notes"]
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """A table; ``spread`` is for queries that compute much per row.
+
+    Files too small to give every core a scan task are then redistributed
+    first. A large table has more scan tasks than cores and is left as it is.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores)
+    return rows
 
 
 def orders(spark, folder) -> DataFrame:
@@ -31,10 +40,10 @@ ORDERS_SQL = (
 )
 
 
-def sales(spark, folder) -> DataFrame:
+def sales(spark, folder, spread: bool = False) -> DataFrame:
     """Canonical orders with market segment as category and region name as region."""
     joined = (
-        table(spark, folder, "orders")
+        table(spark, folder, "orders", spread)
         .join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
         .join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
@@ -76,7 +85,7 @@ def raw_sales(spark, folder, holes: bool) -> DataFrame:
 
     ``holes`` adds unreadable and blank revenues.
     """
-    base = sales(spark, folder).selectExpr(
+    base = sales(spark, folder, spread=True).selectExpr(
         "id", "segment AS dataset", "date", "category", "region",
         "cast(cast(revenue AS decimal(18,2)) AS string) AS amount",
         _PRICE.format(v="revenue", text="string") + " AS price",

@@ -97,7 +97,7 @@ uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_query, ca
 
 
 def _examples(spark, folder):
-    return tc.generate(src.table(spark, folder, "events").select("event_id"), "event_id")
+    return tc.generate(src.table(spark, folder, "events", spread=True).select("event_id"), "event_id")
 
 
 def generate(spark, folder):
@@ -197,7 +197,7 @@ _ARGS = "CASE WHEN event_id % 7 = 2 THEN 'k: 1' ELSE replace(props, ' ', '') END
 
 
 def _public(spark, folder):
-    rows = src.table(spark, folder, "events").selectExpr(
+    rows = src.table(spark, folder, "events", spread=True).selectExpr(
         "event_id AS id", "event_type", _TOOLS + " AS tools", _ARGS + " AS args",
     )
     calls_type = "array<struct<type:string,function:struct<name:string,arguments:string>>>"
@@ -356,7 +356,7 @@ _PAYLOAD = (
 
 
 def _requests(spark, folder):
-    rows = src.table(spark, folder, "events").selectExpr(
+    rows = src.table(spark, folder, "events", spread=True).selectExpr(
         "event_id", "user_id AS dataset_id", _TOOL + " AS tool", _METHOD + " AS method"
     )
     return rows.selectExpr("event_id", "dataset_id", _PAYLOAD + " AS payload")
