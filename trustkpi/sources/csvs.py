@@ -77,8 +77,11 @@ def surplus_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _too_long(names: list[str]) -> Column:
-    # Short rows are reported as corrupt too; only longer ones are an error.
-    return F.coalesce(field_count(F.col(_RAW_LINE)) > len(names), F.lit(False))
+    # Short rows are reported as corrupt too; only longer ones are an error. The
+    # always-true second test names a data column: a scan may not ask for the
+    # raw line alone, as a plain count would.
+    surplus = F.coalesce(field_count(F.col(_RAW_LINE)) > len(names), F.lit(False))
+    return surplus & F.coalesce(F.length(F.col(f"`{names[-1]}`")) >= 0, F.lit(True))
 
 
 def _scan(spark: SparkSession, path, key: str | None, multiline: bool) -> DataFrame:
@@ -91,6 +94,8 @@ def _scan(spark: SparkSession, path, key: str | None, multiline: bool) -> DataFr
         .option("columnNameOfCorruptRecord", _RAW_LINE)
         .option("escape", '"')
         .option("multiLine", multiline)
+        # Every line is read in full, so the field count never depends on the query.
+        .option("columnPruning", False)
         .csv(path)
     )
     source = [F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias(key)] if key else []
