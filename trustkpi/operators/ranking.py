@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from trustkpi.operators.keyed import Keys, attach, cols
 from trustkpi.session import stage
 
-BINS = 1024
+# Bins per pass: money amounts in cents need two or three passes over the column.
+BINS = 16384
 _MAX_PASSES = 400
 _FAN_BITS = 16
 
@@ -26,7 +27,7 @@ def order_statistics(
     """Exact n-th smallest values per key.
 
     ``ranks`` maps an output name to a function of the group size that gives a
-    1-based rank. Each pass counts rows in at most 1024 equal bins between the
+    1-based rank. Each pass counts rows in at most ``BINS`` equal bins between the
     current bounds and keeps the bin that holds the rank, until it holds one
     distinct value. Output per name: the value and ``<name>_below``, the number
     of rows smaller than it.

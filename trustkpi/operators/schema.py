@@ -145,3 +145,22 @@ def detect_schema(cleaned: DataFrame, keys: Keys = ()) -> DataFrame:
         *cols(keys), *[f"{r}_col" for r in ROLES], confidence.alias("confidence"),
         by_role.alias("column_confidence"),
     )
+
+
+def schema_payload(schema: DataFrame, cleaned: DataFrame, keys: Keys = ()) -> DataFrame:
+    """Roles, confidences, row count and canonical column list, one row per key.
+
+    The list has the columns that hold any value, in table order, then the
+    detected roles that are not among them.
+    """
+    columns = data_columns(cleaned, keys, POSITION, COPIES)
+    seen = cleaned.groupBy(*cols(keys)).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.array_compact(F.array(*[F.when(F.count(c) > 0, n) for n, c in zip(columns, cols(columns))])).alias("_own"),
+    )
+    wide = attach(schema, seen, keys)
+    found = F.array_compact(F.array(*[F.when(F.col(f"{r}_col").isNotNull(), r) for r in ROLES]))
+    return wide.select(
+        *cols(keys), "date_col", "revenue_col", "category_col", "region_col", "confidence", "column_confidence",
+        "row_count", F.array_union("_own", found).alias("columns"),
+    )

@@ -416,6 +416,21 @@ DETECT_SQL = f"""WITH {_schema_ctes(False)} SELECT dataset, {', '.join(f'{r}_col
   region_score AS region_confidence FROM conf"""
 
 
+def payload(spark, folder):
+    rows = _detected(spark, folder)
+    out = schema.schema_payload(schema.detect_schema(rows, KEY), rows, KEY)
+    return out.select(
+        "dataset", "date_col", "revenue_col", "category_col", "region_col", "confidence", "row_count",
+        F.array_join("columns", "|").alias("columns"),
+    )
+
+
+PAYLOAD_SQL = f"""WITH {_schema_ctes(False)}
+SELECT dataset, date_col, revenue_col, category_col, region_col, confidence, after AS row_count,
+  'order date|net revenue|product category|region|price|quantity|date|revenue|category' AS columns
+FROM conf JOIN report USING (dataset)"""
+
+
 def canonical(spark, folder):
     rows = _detected(spark, folder)
     found = schema.detect_schema(rows, KEY)
@@ -601,6 +616,7 @@ QUERIES = {
     ),
     "revenue_consistency": (consistency, CONSISTENCY_SQL),
     "detect_schema": (detect, DETECT_SQL),
+    "schema_payload": (payload, PAYLOAD_SQL),
     "canonical_rows": (canonical, _canonical_sql()),
     "prepare_single_dataset": (single_dataset, _single_sql()),
     "quality_bands": (bands, BANDS_SQL),

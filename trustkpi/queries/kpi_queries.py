@@ -222,7 +222,10 @@ QUERIES = {
     "series_quarterly": (_series("QE"), _series_sql("QE")),
     "series_yearly": (_series("YE"), _series_sql("YE")),
     "series_seven_day": (_series("7D"), _series_sql("7D")),
-    "series_hourly": (_series("h", _events), _series_sql("h", ALL_EVENTS_SQL)),
+    "series_hourly": (
+        lambda spark, folder: _series("h", _events)(spark, folder).withColumn("period", F.col("period").cast("string")),
+        f"SELECT * REPLACE (cast(period AS varchar) AS period) FROM ({_series_sql('h', ALL_EVENTS_SQL)})",
+    ),
     "required_rows": (
         required,
         "SELECT o_orderkey AS id, cast(o_orderdate AS date) AS date, o_totalprice AS revenue FROM orders "
