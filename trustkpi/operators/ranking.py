@@ -66,24 +66,35 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
+def _owner(names: list[str], i: int) -> Column:
+    """Number of the first target with the same bounds as target ``i``."""
+    out = F.lit(i)
+    for j in reversed(range(i)):
+        same = (F.col(f"{names[j]}_lo") == F.col(f"{names[i]}_lo")) & (
+            F.col(f"{names[j]}_hi") == F.col(f"{names[i]}_hi")
+        )
+        out = F.when(same, j).otherwise(out)
+    return out
+
+
 def _narrow(base: DataFrame, state: DataFrame, keys: Keys, names: list[str]) -> DataFrame:
     targets = []
     for i, x in enumerate(names):
         lo, hi, v = F.col(f"{x}_lo"), F.col(f"{x}_hi"), F.col("_v")
         # Halves keep the width finite for bounds of opposite extreme sign.
         place = F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2) * BINS
-        inside = F.when(
-            v.between(lo, hi),
-            F.struct(
-                F.lit(i).alias("t"),
-                F.coalesce(F.least(F.floor(place), F.lit(BINS - 1)), F.lit(0)).cast("int").alias("bin"),
-            ),
+        targets.append(
+            F.when(
+                v.between(lo, hi) & (_owner(names, i) == i),
+                F.struct(
+                    F.lit(i).alias("t"),
+                    F.coalesce(F.least(F.floor(place), F.lit(BINS - 1)), F.lit(0)).cast("int").alias("bin"),
+                ),
+            )
         )
-        targets.append(inside)
-    hits = attach(base, state, keys).select(
-        *cols(keys), "_v", F.explode(F.array_compact(F.array(*targets))).alias("hit")
-    )
-    counts = hits.groupBy(*cols(keys), "hit.t", "hit.bin").agg(
+    # Targets with equal bounds share one count, so most rows count once.
+    hits = attach(base, state, keys).select(*cols(keys), "_v", F.explode(F.array(*targets)).alias("hit"))
+    counts = hits.where("hit IS NOT NULL").groupBy(*cols(keys), "hit.t", "hit.bin").agg(
         F.count("_v").alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
     )
     # At most BINS rows per key and target.
@@ -92,12 +103,13 @@ def _narrow(base: DataFrame, state: DataFrame, keys: Keys, names: list[str]) ->
     picks = []
     for i, x in enumerate(names):
         upto = F.col("cum") + F.col(f"{x}_below")
-        chosen = (F.col("t") == i) & (upto >= F.col(f"{x}_rank")) & (upto - F.col("c") < F.col(f"{x}_rank"))
+        rank = F.col(f"{x}_rank")
+        chosen = (F.col("t") == _owner(names, i)) & (upto >= rank) & (upto - F.col("c") < rank)
         picks += [
             F.max(F.when(chosen, F.col("lo"))).alias(f"{x}_lo"),
             F.max(F.when(chosen, F.col("hi"))).alias(f"{x}_hi"),
             F.max(F.when(chosen, upto - F.col("c"))).alias(f"{x}_below"),
-            F.max(f"{x}_rank").alias(f"{x}_rank"),
+            F.max(rank).alias(f"{x}_rank"),
         ]
     return running.groupBy(*cols(keys)).agg(F.max("n").alias("n"), *picks)
 

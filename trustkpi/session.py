@@ -21,8 +21,6 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
         .config("spark.sql.adaptive.enabled", "true")
-        # Methods the JVM would only interpret are split instead.
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # Without call-site capture, building large expressions is much faster.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
