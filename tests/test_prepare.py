@@ -204,3 +204,23 @@ def test_csv_scan(spark, tmp_path):
     header_only.write_text("a,b\n")
     with pytest.raises(ValueError):
         csvs.require_rows(csvs.read_csv(spark, str(header_only)))
+
+
+def test_no_rows_and_no_roles_fail_quietly(spark):
+    raw = frame(spark, TRUST, TRUST_COLUMNS)
+    empty = prepare(raw.where("false")).status.first()
+    assert empty.status == "failed" and empty.reason.startswith("CSV contains no usable rows")
+    words = spark.createDataFrame([("a", f"word {chr(97 + i)}", f"text {chr(97 + i)}") for i in range(26)], ["ds", "one", "two"])
+    done = prepare(words, ["ds"])
+    status = done.status.first()
+    assert (status.status, status.reason, status.confidence) == ("failed", "Schema confidence too low", 0.0)
+    assert done.canonical.count() == 0
+    assert analyze(words, ["ds"]).kpis.count() == 0
+
+
+def test_cleaning_twice_changes_nothing(spark):
+    once = clean.clean(frame(spark, watchlist(), REGIONAL_COLUMNS))
+    again = clean.clean(once.drop("_copies"))
+    columns = ["_pos", *REGIONAL_COLUMNS]
+    assert sorted(once.select(columns).collect()) == sorted(again.select(columns).collect())
+    assert clean.duplicate_summary(again).first().duplicate_rows == 0

@@ -36,7 +36,7 @@ def column_quality(cleaned: DataFrame, keys: Keys = ()) -> DataFrame:
     for i, c in enumerate(columns):
         ok, present = F.col(f"_ok{i}"), F.col(f"_nn{i}")
         hinted = has_hint(c, fixed.NUMERIC_HINTS)
-        candidate = F.lit(hinted) | (ok / rows >= fixed.NUMERIC_CANDIDATE_RATIO)
+        candidate = F.lit(hinted) | (ok / F.greatest(rows, F.lit(1)) >= fixed.NUMERIC_CANDIDATE_RATIO)
         negative = F.col(f"_neg{i}") if has_hint(c, fixed.REVENUE_LIKE_HINTS) else F.lit(0).cast("bigint")
         entries.append(
             F.struct(
