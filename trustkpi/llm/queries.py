@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trustkpi.llm import classifier, decontamination, mixing, sharding, simhash
+from trustkpi.llm import classifier, decontamination, mixing, recompression, sharding, simhash
 from trustkpi.llm.shared import table
 
 MIX = mixing.Targets(
@@ -44,6 +44,11 @@ def op6_mixing(spark, folder):
     return chosen.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch", "leaf_budget")
 
 
+def op8_substring_dedup(spark, folder):
+    kept = recompression.remove_repeats(table(spark, folder, "documents"), with_text=False)
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_simhash(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
@@ -54,5 +59,6 @@ QUERIES = {
     "op4_decontamination": (op4_decontamination, None),
     "op5_quality_classifier": (op5_quality_classifier, None),
     "op6_mixing": (op6_mixing, None),
+    "op8_substring_dedup": (op8_substring_dedup, None),
     "op10_simhash": (op10_simhash, None),
 }
