@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_intdigest
 
 from trustkpi.llm.shared import binary_values
 
@@ -42,33 +41,85 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Numbers(dict):
-    """Words as numbers of this task, with two 64-bit hashes each."""
+def _find(x: np.ndarray, listed: np.ndarray):
+    """(positions of ``x`` that may be in ``listed``, first place there); ``listed`` is sorted.
+
+    A bit table over some bits of the hashes turns most others away before the search.
+    """
+    bits = max(10, min(24, int(len(listed) * 8).bit_length()))
+    seen = np.zeros(1 << bits, bool)
+    seen[(listed >> _U(7)) & _U((1 << bits) - 1)] = True
+    at = np.flatnonzero(seen[(x >> _U(7)) & _U((1 << bits) - 1)])
+    place = np.searchsorted(listed, x[at])
+    inside = place < len(listed)
+    at, place = at[inside], place[inside]
+    same = listed[place] == x[at]
+    return at[same], place[same]
+
+
+def powers(base: int, count: int) -> np.ndarray:
+    """``base`` to the power 0, 1, … modulo 2**64; kept for the next call."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < count:
+        have = np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(count, base, _U)]))
+        _POWERS[base] = have
+    return have[:count]
+
+
+_POWERS: dict[int, np.ndarray] = {}
+_BASE = 0xC2B2AE3D27D4EB4F
+_UNDO = pow(_BASE, -1, 1 << 64)
+
+
+def range_hash(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hash of values[low:high] for many ranges, from running sums; the base is odd, so powers can be undone."""
+    n = len(values)
+    total = np.concatenate([np.zeros(1, _U), np.cumsum(values * powers(_BASE, n), dtype=_U)])
+    return (total[high] - total[low]) * powers(_UNDO, n + 1)[low]
 
-    def __init__(self):
-        self.one, self.two = [], []
 
-    def __missing__(self, word: bytes) -> int:
-        both = xxh3_128_intdigest(word)
-        self.one.append(both & 0xFFFFFFFFFFFFFFFF)
-        self.two.append(both >> 64)
-        self[word] = number = len(self.one) - 1
-        return number
+# Two random numbers for each byte; white space is ASCII only.
+_BYTE = np.random.default_rng(20).integers(0, 1 << 64, (2, 256), _U)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_SLAB = 1 << 20
+
+
+def _slabs(texts: list[bytes]):
+    at, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t) + 1
+        if size >= _SLAB or k + 1 == len(texts):
+            yield texts[at : k + 1]
+            at, size = k + 1, 0
+
+
+def _slab_words(texts: list[bytes], which: int):
+    """(hash of each word, number of words of each text), for a few texts at once."""
+    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[raw]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.concatenate([[0], np.searchsorted(start, ends)]))
+    return _mix(range_hash(_BYTE[which][raw], start, end)), counts
 
 
 class Chunk:
-    """The words of a chunk of documents, in document order."""
+    """The words of a chunk of documents, in document order, as 64-bit hashes."""
 
     def __init__(self, texts: list[bytes | None]):
-        self.words = [(t or b"").split() for t in texts]
-        lengths = np.array([len(w) for w in self.words], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(lengths)])
-        numbers = _Numbers()
-        ids = [np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)) for w in self.words]
-        ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        self.one = np.array(numbers.one, _U)[ids] if len(ids) else np.zeros(0, _U)
-        self.two = np.array(numbers.two, _U)[ids] if len(ids) else np.zeros(0, _U)
-        self.doc = np.repeat(np.arange(len(lengths)), lengths)
+        self.texts = [t or b"" for t in texts]
+        parts = [_slab_words(slab, 0) for slab in _slabs(self.texts)]
+        self.one = np.concatenate([np.zeros(0, _U), *[p[0] for p in parts]])
+        counts = np.concatenate([np.zeros(0, np.int64), *[p[1] for p in parts]])
+        self.starts = np.concatenate([[0], np.cumsum(counts)])
+        self.doc = np.repeat(np.arange(len(counts)), counts)
+
+    def hashes(self, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits of every window at ``at``: 64, and 32 from other numbers for the bytes."""
+        second = np.concatenate([np.zeros(0, _U), *[_slab_words(slab, 1)[0] for slab in _slabs(self.texts)]])
+        two = (window_hash(second, size, _BASE)[at] >> _U(32)).astype(np.uint32)
+        return window_hash(self.one, size, 0x9E3779B97F4A7C15)[at], two
 
     def windows(self, size: int) -> np.ndarray:
         """Start positions of all windows; none crosses a document's end."""
@@ -135,15 +186,6 @@ def parse(names: np.ndarray, doc: np.ndarray, rounds: int):
         yield names, low, high
 
 
-def range_hash(words: np.ndarray, low: np.ndarray, high: np.ndarray, base: int) -> np.ndarray:
-    """Hash of the words from ``low`` to ``high``, from running sums; ``base`` is odd, so powers can be undone."""
-    def powers(b):
-        return np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(len(words), b % (1 << 64), _U)]))
-
-    total = np.concatenate([np.zeros(1, _U), np.cumsum(words * powers(base)[:-1], dtype=_U)])
-    return (total[high] - total[low]) * powers(pow(base, -1, 1 << 64))[low]
-
-
 def symbols(chunk: Chunk, size: int, rounds: int):
     """(window starts, names, first, last): the symbols of window i are names[first[i]:last[i]].
 
@@ -159,7 +201,7 @@ def symbols(chunk: Chunk, size: int, rounds: int):
         names, low, high = levels[level]
         fits = (low >= 0) & (high - low <= size)
         low, high = low[fits], high[fits]
-        names = _mix(names[fits] + range_hash(chunk.one, low, high, 0xC2B2AE3D27D4EB4F) * _U(2 * level + 1))
+        names = _mix(names[fits] + range_hash(chunk.one, low, high) * _U(2 * level + 1))
         a = np.searchsorted(low, at[open_])
         b = np.searchsorted(high, at[open_] + size, side="right")
         has = a < b
@@ -228,7 +270,7 @@ def _reduce_names(table):
     shared = np.unique(everything[1:][everything[1:] == everything[:-1]])
     return pa.table({
         "chunk": table.column("chunk"),
-        "names": pa.array([_pack(n[np.isin(n, shared)], "<u8") for n in per_chunk], pa.binary()),
+        "names": pa.array([_pack(n[_find(n, shared)[0]], "<u8") for n in per_chunk], pa.binary()),
     })
 
 
@@ -238,13 +280,16 @@ def _emit_windows(buckets: int, size: int, rounds: int):
         if table.num_rows:
             chunk, _, ids, null, rows = _chunk(table)
             at, names, low, high = symbols(chunk, size, rounds)
-            elsewhere = np.sort(_joined(flags.column("names"), "<u8"))
-            _, number, places = np.unique(names, return_inverse=True, return_counts=True)
-            shared = np.concatenate([[0], np.cumsum((places[number] > 1) | np.isin(names, elsewhere))])
+            ordered = np.sort(names)
+            here = ordered[1:][ordered[1:] == ordered[:-1]]
+            listed = np.unique(np.concatenate([here, _joined(flags.column("names"), "<u8")]))
+            shared = np.zeros(len(names) + 1, np.int64)
+            shared[_find(names, listed)[0] + 1] = 1
+            shared = np.cumsum(shared)
             candidate = np.flatnonzero(shared[high] - shared[low] == high - low)
-            one = window_hash(chunk.one, size, 0x9E3779B97F4A7C15)[at]
-            two = (window_hash(chunk.two, size, 0xC2B2AE3D27D4EB4F)[at] >> _U(32)).astype(np.uint32)
-            order = candidate[np.lexsort((two[candidate], one[candidate]))]  # stable: first place first
+            at = at[candidate]
+            one, two = chunk.hashes(size, at)
+            order = np.lexsort((two, one))  # stable: first place first
             one, two, at = one[order], two[order], at[order]
             first = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))[: len(one)])
             many = np.diff(np.append(first, len(one))) > 1
@@ -303,9 +348,10 @@ def removed_words(chunk: Chunk, size: int, one: np.ndarray, two: np.ndarray, win
     if len(one) and len(at):
         order = np.lexsort((two, one))
         one, two, wins = one[order], two[order], wins[order].astype(bool)
-        mine = window_hash(chunk.one, size, 0x9E3779B97F4A7C15)[at]
-        other = (window_hash(chunk.two, size, 0xC2B2AE3D27D4EB4F)[at] >> _U(32)).astype(np.uint32)
-        low, high = np.searchsorted(one, mine), np.searchsorted(one, mine, side="right")
+        found, low = _find(window_hash(chunk.one, size, 0x9E3779B97F4A7C15)[at], one)
+        at = at[found]
+        mine, other = chunk.hashes(size, at)
+        high = np.searchsorted(one, mine, side="right")
         entry = np.full(len(at), -1)
         for k in range(int((high - low).max(initial=0))):
             more = np.flatnonzero(low + k < high)
@@ -331,8 +377,8 @@ def _finish(size: int, with_text: bool):
                 chunk, size, _joined(flags.column("one"), "<u8"), _joined(flags.column("two"), "<u4"),
                 _joined(flags.column("wins"), "u1"),
             )
-            for words, a, b in zip(chunk.words, chunk.starts, chunk.starts[1:]):
-                mask = gone[a:b]
+            for text, a, b in zip(chunk.texts, chunk.starts, chunk.starts[1:]):
+                words, mask = text.split(), gone[a:b]
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
                 kept, last = [], 0
                 for start, end in zip(edge[::2], edge[1::2]):
