@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from trustkpi.functions.text import as_column
 
-# Years a nanosecond timestamp covers in full, 1678 to 2261.
-_YEAR = r"(167[89]|16[89]\d|1[7-9]\d\d|2[01]\d\d|22[0-5]\d|226[01])"
+# The first and last moment a nanosecond timestamp covers.
+_FIRST, _LAST = "1677-09-21 00:12:43.145225", "2262-04-11 23:47:16.854775"
+_YEAR = r"(\d{4})"
 _TIME = r"([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?"
 _HALF_DAY = r" \d{1,2}:\d{2}(:\d{2})? [AaPp][Mm]"
 _OPTIONAL_TIME = "[ H:mm[:ss][.SSSSSSSSS][.SSSSSS][.SSS]]"
@@ -21,16 +22,21 @@ DATE_SHAPES = [
     (rf"^\d{{1,2}}/\d{{1,2}}/{_YEAR}{_TIME}$", ["M/d/yyyy" + _OPTIONAL_TIME, "d/M/yyyy" + _OPTIONAL_TIME]),
     (rf"^\d{{1,2}}-\d{{1,2}}-{_YEAR}{_TIME}$", ["M-d-yyyy" + _OPTIONAL_TIME, "d-M-yyyy" + _OPTIONAL_TIME]),
     (rf"^\d{{1,2}}\.\d{{1,2}}\.{_YEAR}{_TIME}$", ["M.d.yyyy" + _OPTIONAL_TIME, "d.M.yyyy" + _OPTIONAL_TIME]),
+    (rf"^{_YEAR}\.\d{{1,2}}\.\d{{1,2}}{_TIME}$", ["yyyy.M.d" + _OPTIONAL_TIME]),
     (rf"^{_YEAR}-\d{{1,2}}-\d{{1,2}}{_HALF_DAY}$", ["yyyy-M-d h:mm[:ss] a"]),
     (rf"^\d{{1,2}}/\d{{1,2}}/{_YEAR}{_HALF_DAY}$", ["M/d/yyyy h:mm[:ss] a", "d/M/yyyy h:mm[:ss] a"]),
     (rf"^\d{{1,2}}/\d{{1,2}}/\d{{2}}$", ["M/d/yy", "d/M/yy"]),
     (rf"^\d{{1,2}}-\d{{1,2}}-\d{{2}}$", ["M-d-yy", "d-M-yy"]),
     (rf"^\d{{1,2}}\.\d{{1,2}}\.\d{{2}}$", ["M.d.yy", "d.M.yy"]),
-    (rf"^[A-Za-z]{{3}} \d{{1,2}},? {_YEAR}$", ["MMM d[,] yyyy"]),
-    (rf"^[A-Za-z]{{4,9}} \d{{1,2}},? {_YEAR}$", ["MMMM d[,] yyyy"]),
-    (rf"^\d{{1,2}} [A-Za-z]{{3}} {_YEAR}$", ["d MMM yyyy"]),
-    (rf"^\d{{1,2}} [A-Za-z]{{4,9}} {_YEAR}$", ["d MMMM yyyy"]),
+    (rf"^[A-Za-z]{{3}} \d{{1,2}},? {_YEAR}{_TIME}$", ["MMM d[,] yyyy" + _OPTIONAL_TIME]),
+    (rf"^[A-Za-z]{{4,9}} \d{{1,2}},? {_YEAR}{_TIME}$", ["MMMM d[,] yyyy" + _OPTIONAL_TIME]),
+    (rf"^\d{{1,2}} [A-Za-z]{{3}} {_YEAR}{_TIME}$", ["d MMM yyyy" + _OPTIONAL_TIME]),
+    (rf"^\d{{1,2}} [A-Za-z]{{4,9}} {_YEAR}{_TIME}$", ["d MMMM yyyy" + _OPTIONAL_TIME]),
+    (rf"^{_YEAR} [A-Za-z]{{3}} \d{{1,2}}$", ["yyyy MMM d"]),
     (rf"^\d{{1,2}}-[A-Za-z]{{3}}-{_YEAR}$", ["d-MMM-yyyy"]),
+    (rf"^\d{{1,2}}-[A-Za-z]{{3}}-\d{{2}}$", ["d-MMM-yy"]),
+    (rf"^\d{{1,2}}/{_YEAR}$", ["M/yyyy"]),
+    (rf"^{_YEAR}\d{{4}}[ T]\d{{6}}$", ["yyyyMMdd HHmmss"]),
     (rf"^[A-Za-z]{{3}} {_YEAR}$", ["MMM yyyy"]),
     (rf"^[A-Za-z]{{4,9}} {_YEAR}$", ["MMMM yyyy"]),
     (rf"^{_YEAR}\d{{4}}$", ["yyyyMMdd"]),
@@ -48,8 +54,8 @@ def parse_date(c: Column | str) -> Column:
 
     Two-digit years from 69 on lie in the 1900s.
     """
-    raw = F.regexp_replace(F.trim(as_column(c)), _WEEKDAY, "")
-    text = F.regexp_replace(raw, "T", " ")
+    raw = F.regexp_replace(F.regexp_replace(F.trim(as_column(c)), _WEEKDAY, ""), r"(?i)\bsept\b", "Sep")
+    text = F.regexp_replace(raw, r"(?<=\d)T(?=\d)", " ")
     parsed = F.when(raw.rlike(_ZONED), raw.try_cast("timestamp"))
     for shape, patterns in DATE_SHAPES:
         subject = text if "[ T]" in shape else raw
@@ -69,4 +75,7 @@ def parse_date(c: Column | str) -> Column:
     )
     parsed = parsed.when(raw.rlike(_QUARTER), quarter)
     # One test turns away everything that has no date shape at all.
-    return F.when(raw.rlike(_ANY_SHAPE), parsed)
+    found = F.when(raw.rlike(_ANY_SHAPE), parsed)
+    first, last = (F.lit(t).cast("timestamp") for t in (_FIRST, _LAST))
+    # As an array's only element the long expression is evaluated once.
+    return F.get(F.filter(F.array(found), lambda x: x.between(first, last)), F.lit(0))

@@ -7,29 +7,31 @@ from pyspark.sql import functions as F
 
 from trustkpi.functions.text import SPACE, as_column
 
-_INTEGER = r"^\s*[+-]?[0-9]{1,18}\s*$"
+_INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 _PLAIN = r"^-?[0-9]{1,15}(\.[0-9]{1,15})?$"
 _NUMBER = r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\s*$"
 _PARENTHESES = rf"^{SPACE}*\((.*)\){SPACE}*$"
-# Numbers that cannot overflow a double: any without or with a short or negative
-# exponent, and short ones with an exponent up to 299.
-_SAFE = (
-    r"[+-]?([0-9]{1,200}\.?[0-9]*|\.[0-9]+)([eE](\+?[0-9]{1,2}|-[0-9]+))?"
-    r"|[+-]?([0-9]{1,9}\.?[0-9]*|\.[0-9]+)[eE]\+?0*[12]?[0-9]{1,2}"
-)
-_UNSAFE = rf"^(?!({_SAFE})$).*$"
+_OTHER = r"^(?![+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$).*$"
 
 
 def parse_number(c: Column | str) -> Column:
     """Number in loosely written text, else NULL: ``$1,234.50``, ``(12)``, ``10%``.
 
-    Text that would overflow is missing. Unreadable text is recognised before
+    Text too large for a double is missing. Unreadable text is recognised before
     the cast, because a failing cast is far slower than a pattern.
     """
     c = as_column(c)
     digits = F.regexp_replace(F.regexp_replace(c, _PARENTHESES, "-$1"), r"[^0-9.+eE\-]", "")
-    loose = F.nanvl(F.regexp_replace(digits, _UNSAFE, "NaN").try_cast("double"), F.lit(None).cast("double"))
-    return F.when(c.rlike(_PLAIN), c.try_cast("double")).when(c.rlike("[0-9]"), loose)
+    loose = F.regexp_replace(digits, _OTHER, "NaN").try_cast("double")
+    # NaN sorts above infinity, so one comparison turns both away.
+    finite = F.when(F.abs(loose) < F.lit(float("inf")), loose)
+    return F.when(c.rlike(_PLAIN), c.try_cast("double")).when(c.rlike("[0-9]"), finite)
+
+
+def integer_text(c: Column | str) -> Column:
+    """A whole number of any length in one spelling: no plus sign, no leading zeros, no minus zero."""
+    bare = F.regexp_replace(as_column(c), r"^\+?(-?)0*(?=[0-9])", "$1")
+    return F.when(bare == "-0", "0").otherwise(bare)
 
 
 def looks_integer(c: Column | str) -> Column:

@@ -115,7 +115,7 @@ def standardize(raw: DataFrame, keys: Keys = ()) -> DataFrame:
         value = (
             F.when(rule == "text", plain)
             .when(rule == "label", text.title_case(plain))
-            .when(rule == "integer", plain.try_cast("bigint").cast("string"))
+            .when(rule == "integer", numbers.integer_text(plain))
             .when(rule == "number", F.regexp_replace(plain.try_cast("double").cast("string"), r"\.0$", ""))
             .when(rule == "boolean", F.initcap(plain))
         )
@@ -140,6 +140,13 @@ def drop_duplicates(standard: DataFrame, keys: Keys = ()) -> DataFrame:
     )
 
 
+def present_columns(raw: DataFrame, keys: Keys = ()) -> DataFrame:
+    """(keys, present ARRAY<column>): columns with any raw value; a blank is one, NULL is not."""
+    columns = data_columns(raw, keys, POSITION)
+    held = [F.when(F.count(F.col(f"`{c}`")) > 0, F.lit(c)) for c in columns]
+    return raw.groupBy(*cols(keys)).agg(F.array_compact(F.array(*held)).alias("present"))
+
+
 def clean(raw: DataFrame, keys: Keys = ()) -> DataFrame:
     """Raw text rows to distinct standardised rows (plus ``_copies``, ``_pos``).
 

@@ -18,7 +18,9 @@ from trustkpi.functions.text import (
 )
 from trustkpi.operators.charts import chart_insights
 from trustkpi.operators.keyed import Keys, attach, cols
+from trustkpi.operators.clean import POSITION
 from trustkpi.operators.quality import display_warnings
+from trustkpi.operators.requests import usable_texts
 
 _NO_TEXTS = "array<string>"
 
@@ -169,7 +171,7 @@ def answer_questions(questions: DataFrame, reports: DataFrame) -> DataFrame:
 
     ``questions`` has (question_id, report_id, message), ``reports`` has
     report_id, status, the KPI columns and duplicate_percent. Questions without
-    a report get no row.
+    a report get no row; see ``rejected_questions`` for texts that cannot be answered.
     """
     asked = questions.where(within_length("message", fixed.MESSAGE_MAX_CHARS))
     joined = asked.join(reports, "report_id")
@@ -183,6 +185,11 @@ def answer_questions(questions: DataFrame, reports: DataFrame) -> DataFrame:
     )
 
 
+def rejected_questions(questions: DataFrame) -> DataFrame:
+    """Questions whose message is blank or too long, with ``reject_reason``."""
+    return usable_texts(questions, "message", fixed.MESSAGE_MAX_CHARS)[1]
+
+
 def is_generic(summary_text: Column, story_chapters: Column) -> Column:
     """True when a supplied report text speaks about the tool instead of the data."""
     told = F.array_join(
@@ -199,8 +206,11 @@ def _has_marker(low: Column) -> Column:
     return F.exists(text_array(fixed.GENERIC_MARKERS), lambda m: F.contains(low, m))
 
 
-def choose_texts(supplied: DataFrame, facts: DataFrame, keys: Keys) -> DataFrame:
-    """Supplied report texts where usable, otherwise the deterministic ones."""
+def choose_texts(supplied: DataFrame, facts: DataFrame, keys: Keys, dataset: DataFrame | None = None) -> DataFrame:
+    """Supplied report texts where usable, otherwise the deterministic ones.
+
+    Warnings stand in the order dataset (``dataset`` has keys and ``warnings``), supplied, rest.
+    """
     own = ["title", "summary", "insights", "story", "suggested_questions", "warnings"]
     base = facts.select(*cols(keys), *[F.col(c).alias(f"_f_{c}") for c in own])
     # Computed before the projection that reuses these names: inside lambdas a
@@ -218,7 +228,11 @@ def choose_texts(supplied: DataFrame, facts: DataFrame, keys: Keys) -> DataFrame
         if c in ("summary", "insights", "story"):
             value = F.when(~F.col("_generic"), value)
         chosen.append(F.coalesce(value, F.col(f"_f_{c}")).alias(c))
-    merged = F.array_distinct(F.concat(_or_empty(F.col("warnings")), _or_empty(F.col("_f_warnings"))))
+    if dataset is None:
+        wide = wide.withColumn("_d_warnings", F.lit(None).cast(_NO_TEXTS))
+    else:
+        wide = attach(wide, dataset.select(*cols(keys), F.col("warnings").alias("_d_warnings")), keys)
+    merged = F.array_distinct(F.concat(*[_or_empty(F.col(c)) for c in ("_d_warnings", "warnings", "_f_warnings")]))
     return wide.select(*cols(keys), *chosen, merged.alias("warnings"))
 
 
@@ -318,8 +332,10 @@ def dataset_context(schema: DataFrame, status: DataFrame, preview_rows: DataFram
     ``preview_rows`` holds at most the preview limit of rows per key.
     """
     shown = [c for c in preview_rows.columns if c not in keys]
+    place = F.col(POSITION) if POSITION in shown else F.lit(0)
+    line = F.struct(place.alias("p"), F.to_json(F.struct(*cols([c for c in shown if c != POSITION]))).alias("line"))
     first = preview_rows.groupBy(*cols(keys)).agg(
-        F.collect_list(F.to_json(F.struct(*cols(shown)))).alias("preview")
+        F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]).alias("preview")
     )
     roles = schema.select(
         *cols(keys), F.struct(*cols([c for c in schema.columns if c not in keys])).alias("schema")

@@ -188,13 +188,9 @@ def top_dimension(df: DataFrame, dimension: str, keys: Keys = ()) -> DataFrame:
             F.lit("N/A").alias(f"top_{dimension}"), F.lit(None).cast("double").alias("value")
         )
     sums = breakdown(df, dimension, keys)
-    best = sums.groupBy(*cols(keys)).agg(
-        F.max("value").alias("value"), F.count(F.lit(1)).alias("_n")
-    )
-    tied = attach(sums, best.withColumnRenamed("value", "_best"), keys).where("value = _best")
-    return tied.groupBy(*cols(keys)).agg(
-        F.min("label").alias(f"top_{dimension}"), F.max("value").alias("value")
-    )
+    # The largest value wins, then the first label; missing sums never do.
+    best = sums.where("value IS NOT NULL").groupBy(*cols(keys)).agg(F.min(F.struct((-F.col("value")).alias("v"), "label")).alias("b"))
+    return best.select(*cols(keys), F.col("b.label").alias(f"top_{dimension}"), (-F.col("b.v")).alias("value"))
 
 
 def insight_flags(df: DataFrame, dimension: str, keys: Keys = ()) -> DataFrame:

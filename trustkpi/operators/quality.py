@@ -16,11 +16,12 @@ def has_hint(name: str, hints: list[str]) -> bool:
     return bool(set(clean_header(name).split()) & set(hints))
 
 
-def column_quality(cleaned: DataFrame, keys: Keys = ()) -> DataFrame:
+def column_quality(cleaned: DataFrame, keys: Keys = (), present: DataFrame | None = None) -> DataFrame:
     """Counts per column: (keys, column, rows, missing, numeric, invalid, negative, candidate).
 
     One aggregate over the rows computes every column's counters; only a row
-    per key leaves the map side. Columns without any value are left out.
+    per key leaves the map side. Columns without any value are left out; ``present``
+    (see ``clean.present_columns``) tells those from columns that held blanks only, which count.
     """
     columns = data_columns(cleaned, keys, POSITION, COPIES)
     counters = [F.count(F.lit(1)).alias("_rows")]
@@ -34,7 +35,7 @@ def column_quality(cleaned: DataFrame, keys: Keys = ()) -> DataFrame:
     rows = F.col("_rows")
     entries = []
     for i, c in enumerate(columns):
-        ok, present = F.col(f"_ok{i}"), F.col(f"_nn{i}")
+        ok, filled = F.col(f"_ok{i}"), F.col(f"_nn{i}")
         hinted = has_hint(c, fixed.NUMERIC_HINTS)
         candidate = F.lit(hinted) | (ok / F.greatest(rows, F.lit(1)) >= fixed.NUMERIC_CANDIDATE_RATIO)
         negative = F.col(f"_neg{i}") if has_hint(c, fixed.REVENUE_LIKE_HINTS) else F.lit(0).cast("bigint")
@@ -42,14 +43,17 @@ def column_quality(cleaned: DataFrame, keys: Keys = ()) -> DataFrame:
             F.struct(
                 F.lit(c).alias("column"),
                 rows.alias("rows"),
-                (rows - present).alias("missing"),
+                (rows - filled).alias("missing"),
                 ok.alias("numeric"),
-                F.when(candidate, present - ok).alias("invalid"),
+                F.when(candidate, filled - ok).alias("invalid"),
                 negative.alias("negative"),
                 candidate.alias("candidate"),
             )
         )
-    return wide.select(*cols(keys), F.inline(F.array(*entries))).where("missing < rows")
+    listed = wide.select(*cols(keys), F.inline(F.array(*entries)))
+    if present is None:
+        return listed.where("missing < rows")
+    return attach(listed, present, keys).where(F.array_contains("present", F.col("column"))).drop("present")
 
 
 def quality_score(
@@ -65,9 +69,9 @@ def quality_score(
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - penalty)), 4)
 
 
-def quality_report(cleaned: DataFrame, keys: Keys = ()) -> DataFrame:
+def quality_report(cleaned: DataFrame, keys: Keys = (), present: DataFrame | None = None) -> DataFrame:
     """One row per key: counts, maps by column, score."""
-    by_column = column_quality(cleaned, keys)
+    by_column = column_quality(cleaned, keys, present)
     # One entry per column of the table.
     merged = by_column.groupBy(*cols(keys)).agg(
         F.map_from_entries(F.collect_list(F.struct("column", "missing"))).alias("missing_values"),

@@ -13,11 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustkpi.operators.keyed import Keys, attach, cols
+from trustkpi.operators.running import running_total
 from trustkpi.session import stage
 
-# Bins per pass: money amounts in cents need two or three passes over the column.
-BINS = 16384
-_MAX_PASSES = 400
 _FAN_BITS = 16
 
 
@@ -27,91 +25,22 @@ def order_statistics(
     """Exact n-th smallest values per key.
 
     ``ranks`` maps an output name to a function of the group size that gives a
-    1-based rank. Each pass counts rows in at most ``BINS`` equal bins between the
-    current bounds and keeps the bin that holds the rank, until it holds one
-    distinct value. Output per name: the value and ``<name>_below``, the number
-    of rows smaller than it.
+    1-based rank. Equal values are counted together before anything is sorted, the
+    input is read once, and the counts are summed range by range. Output per name:
+    the value and ``<name>_below``, the number of rows smaller than it.
     """
-    names = list(ranks)
     base = df.select(*cols(keys), value.cast("double").alias("_v")).where("_v IS NOT NULL")
-    sizes = base.groupBy(*cols(keys)).agg(
-        F.count("_v").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    state = stage(
-        sizes.select(
-            *cols(keys),
-            "n",
-            *[F.col("_lo").alias(f"{x}_lo") for x in names],
-            *[F.col("_hi").alias(f"{x}_hi") for x in names],
-            *[F.lit(0).cast("bigint").alias(f"{x}_below") for x in names],
-            *[ranks[x](F.col("n")).cast("bigint").alias(f"{x}_rank") for x in names],
-        ),
-        "ranks",
-    )
-    for _ in range(_MAX_PASSES):
-        open_bins = [F.col(f"{x}_lo") < F.col(f"{x}_hi") for x in names]
-        unresolved = state.where(_any(open_bins))
-        if unresolved.isEmpty():
-            break
-        state = stage(_narrow(base, state, keys, names), "ranks")
-    return state.select(
-        *cols(keys), "n", *[F.col(f"{x}_lo").alias(x) for x in names], *[f"{x}_below" for x in names]
-    )
-
-
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
-
-
-def _owner(names: list[str], i: int) -> Column:
-    """Number of the first target with the same bounds as target ``i``."""
-    out = F.lit(i)
-    for j in reversed(range(i)):
-        same = (F.col(f"{names[j]}_lo") == F.col(f"{names[i]}_lo")) & (
-            F.col(f"{names[j]}_hi") == F.col(f"{names[i]}_hi")
-        )
-        out = F.when(same, j).otherwise(out)
-    return out
-
-
-def _narrow(base: DataFrame, state: DataFrame, keys: Keys, names: list[str]) -> DataFrame:
-    targets = []
-    for i, x in enumerate(names):
-        lo, hi, v = F.col(f"{x}_lo"), F.col(f"{x}_hi"), F.col("_v")
-        # Halves keep the width finite for bounds of opposite extreme sign.
-        place = F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2) * BINS
-        targets.append(
-            F.when(
-                v.between(lo, hi) & (_owner(names, i) == i),
-                F.struct(
-                    F.lit(i).alias("t"),
-                    F.coalesce(F.least(F.floor(place), F.lit(BINS - 1)), F.lit(0)).cast("int").alias("bin"),
-                ),
-            )
-        )
-    # Targets with equal bounds share one count, so most rows count once.
-    hits = attach(base, state, keys).select(*cols(keys), "_v", F.explode(F.array(*targets)).alias("hit"))
-    counts = hits.where("hit IS NOT NULL").groupBy(*cols(keys), "hit.t", "hit.bin").agg(
-        F.count("_v").alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
-    )
-    # At most BINS rows per key and target.
-    order = Window.partitionBy(*cols(keys), "t").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    running = attach(counts.withColumn("cum", F.sum("c").over(order)), state, keys)
-    picks = []
-    for i, x in enumerate(names):
-        upto = F.col("cum") + F.col(f"{x}_below")
-        rank = F.col(f"{x}_rank")
-        chosen = (F.col("t") == _owner(names, i)) & (upto >= rank) & (upto - F.col("c") < rank)
-        picks += [
-            F.max(F.when(chosen, F.col("lo"))).alias(f"{x}_lo"),
-            F.max(F.when(chosen, F.col("hi"))).alias(f"{x}_hi"),
-            F.max(F.when(chosen, upto - F.col("c"))).alias(f"{x}_below"),
-            F.max(rank).alias(f"{x}_rank"),
+    counts = stage(base.groupBy(*cols(keys), "_v").agg(F.count(F.lit(1)).alias("_c")), "counts")
+    sizes = stage(counts.groupBy(*cols(keys)).agg(F.sum("_c").alias("n")), "sizes")
+    placed = attach(running_total(counts, keys, ["_v"], "_c", "_below"), sizes, keys)
+    found = []
+    for name, rank in ranks.items():
+        wanted = rank(F.col("n")).cast("bigint")
+        here = (F.col("_below") < wanted) & (wanted <= F.col("_below") + F.col("_c"))
+        found += [
+            F.max(F.when(here, F.col("_v"))).alias(name), F.max(F.when(here, F.col("_below"))).alias(f"{name}_below")
         ]
-    return running.groupBy(*cols(keys)).agg(F.max("n").alias("n"), *picks)
+    return placed.groupBy(*cols(keys)).agg(F.max("n").alias("n"), *found)
 
 
 def exact_median(df: DataFrame, keys: Keys, value: Column, name: str = "median") -> DataFrame:

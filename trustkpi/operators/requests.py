@@ -35,7 +35,9 @@ def classify(requests: DataFrame, datasets: DataFrame | None = None) -> DataFram
         ids = datasets.select("dataset_id").distinct().withColumn("_known", F.lit(True))
         known = parsed.join(ids, "dataset_id", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
     method, tool = F.col("_r.method"), F.col("_r.params.name")
-    version = F.coalesce(F.col("_r.jsonrpc") == fixed.REQUEST_VERSION, F.lit(False))
+    # The version is a text: the number 2.0 is another value.
+    written = F.schema_of_variant(F.try_variant_get(F.try_parse_json("payload"), "$.jsonrpc", "variant"))
+    version = F.coalesce((F.col("_r.jsonrpc") == fixed.REQUEST_VERSION) & (written == "STRING"), F.lit(False))
     is_call = F.coalesce(method == "tools/call", F.lit(False))
     is_other = F.coalesce(method.isin("initialize", "tools/list"), F.lit(False))
     live = F.coalesce(tool.isin(LIVE_TOOLS), F.lit(False))

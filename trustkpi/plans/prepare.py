@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trustkpi import fixed
 from trustkpi.operators import quality
 from trustkpi.operators.canonical import canonicalize
-from trustkpi.operators.clean import clean
+from trustkpi.operators.clean import clean, present_columns
 from trustkpi.operators.keyed import Keys, attach, cols
 from trustkpi.operators.schema import detect_schema
 from trustkpi.session import stage
@@ -35,9 +35,13 @@ def prepare(raw: DataFrame, keys: Keys = (), expected: DataFrame | None = None)
     even when no usable row arrives.
     """
     cleaned = clean(raw, keys)
-    report = stage(quality.quality_report(cleaned, keys), "quality")
-    schema = stage(detect_schema(cleaned, keys), "schema")
-    canonical = stage(canonicalize(cleaned, schema, keys), "canonical")
+    present = stage(present_columns(raw, keys), "present")
+    report = stage(quality.quality_report(cleaned, keys, present), "quality")
+    # Datasets that the first gate stops get no roles and no canonical rows.
+    going = quality.quality_gate(F.col("duplicate_percent"), F.col("quality_score"))
+    sound = attach(cleaned, report.select(*cols(keys), going.alias("_sound")), keys).where("_sound").drop("_sound")
+    schema = stage(detect_schema(sound, keys), "schema")
+    canonical = stage(canonicalize(sound, schema, keys), "canonical")
     critical = quality.missing_critical_fields(canonical, keys)
     status = stage(_status(report, schema, critical, keys), "status")
     if expected is not None and keys:

@@ -21,9 +21,14 @@ class Analysis:
     report: DataFrame
 
 
-def analyze(raw: DataFrame, keys: Keys = (), freq: str = "D", max_charts: int = 3) -> Analysis:
-    """Prepare, then KPIs, chart set and report texts for the datasets that passed."""
-    prepared = prepare(raw, keys)
+def analyze(
+    raw: DataFrame, keys: Keys = (), freq: str = "D", max_charts: int = 3, expected: DataFrame | None = None
+) -> Analysis:
+    """Prepare, then KPIs, chart set and report texts for the datasets that passed.
+
+    ``expected`` lists keys that must be reported even when no usable row arrives.
+    """
+    prepared = prepare(raw, keys, expected)
     numbers = stage(kpi.kpi_report(prepared.canonical, freq, keys), "kpis")
     drawn = stage(charts.chart_set(prepared.canonical, max_charts, keys), "charts")
     inputs = facts.fact_inputs(numbers, drawn, prepared.status, keys)

@@ -27,7 +27,7 @@ _MESSY = (
 
 
 def parse_numeric(spark, folder):
-    rows = src.table(spark, folder, "lineitem", spread=True).selectExpr(
+    rows = src.table(spark, folder, "lineitem").selectExpr(
         "l_orderkey", "l_linenumber", "cast(cast(l_extendedprice AS decimal(18,2)) AS string) AS a"
     ).selectExpr("l_orderkey", "l_linenumber", "a", _MESSY + " AS t")
     return rows.select("l_orderkey", "l_linenumber", "a", F.round(numbers.parse_number("t"), 4).alias("value"))
@@ -46,7 +46,7 @@ _DATE_TEXT = (
 def parse_dates(spark, folder):
     forms = ["yyyy-MM-dd", "MM/dd/yyyy", "d MMM yyyy", "MMMM d, yyyy", "yyyyMMdd", "yyyy/M/d", "yyyy-MM-dd HH:mm:ss"]
     shown = _DATE_TEXT.format(*[f"date_format(o_orderdate, '{f}')" for f in forms])
-    rows = src.table(spark, folder, "orders", spread=True).selectExpr("o_orderkey", shown + " AS t")
+    rows = src.table(spark, folder, "orders").selectExpr("o_orderkey", shown + " AS t")
     return rows.select("o_orderkey", F.to_date(dates.parse_date("t")).alias("parsed"))
 
 
@@ -67,7 +67,7 @@ def title_labels(spark, folder):
 
 
 def normalize_documents(spark, folder):
-    rows = src.table(spark, folder, "documents", spread=True).select("doc_id", text.normalize_text("text").alias("t"))
+    rows = src.table(spark, folder, "documents").select("doc_id", text.normalize_text("text").alias("t"))
     return rows.select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("bigint").alias("chars"))
 
 
@@ -281,7 +281,11 @@ def duplicates(spark, folder):
 
 def duplicate_documents(spark, folder):
     """Exact copies among whole texts, per source, after white-space normalisation."""
-    rows = src.table(spark, folder, "documents", spread=True).select("source", "lang", text.normalize_text("text").alias("text"))
+    whole = text.normalize_text("text")
+    # Only counts are asked for: a digest and the length stand for the text in the shuffle.
+    rows = src.table(spark, folder, "documents").select(
+        "source", "lang", F.sha2(whole, 256).alias("digest"), F.length(whole).alias("size")
+    )
     return clean.duplicate_summary(clean.drop_duplicates(rows, ["source"]), ["source"])
 
 
@@ -292,6 +296,24 @@ SELECT source, cast(sum(n) AS bigint) AS row_count_before_cleaning, count(*) AS
 FROM g GROUP BY source"""
 
 
+_LONG_ID = (
+    "CASE WHEN o_orderkey % 3 = 0 THEN '{plus}000' ELSE '' END || CASE WHEN o_orderkey % 5 = 0 "
+    "THEN '12345678901234567890123' ELSE '1234567890123456' END || cast(100 + floor(o_orderkey / 2) % 500 AS {whole})"
+)
+
+
+def long_ids(spark, folder):
+    """Whole numbers of 19 to 26 digits, some with sign and leading zeros, stay apart."""
+    ref = _LONG_ID.format(plus="+", whole="int").replace("cast(100", "cast(cast(100").replace("AS int)", "AS int) AS string)")
+    rows = src.table(spark, folder, "orders").selectExpr("o_orderpriority AS dataset", ref + " AS ref")
+    return clean.clean(rows, KEY).select("dataset", "ref", F.col("_copies").alias("copies"))
+
+
+LONG_IDS_SQL = f"""SELECT o_orderpriority AS dataset, CASE WHEN o_orderkey % 5 = 0 THEN '12345678901234567890123'
+  ELSE '1234567890123456' END || cast(100 + (o_orderkey // 2) % 500 AS varchar) AS ref, count(*) AS copies
+FROM orders GROUP BY ALL"""
+
+
 def column_quality(spark, folder):
     out = quality.column_quality(clean.clean(src.raw_sales(spark, folder, True), KEY), KEY)
     return out
@@ -587,6 +609,7 @@ QUERIES = {
         "row_count_after_cleaning, dup AS duplicate_rows, pct AS duplicate_percent FROM dups",
     ),
     "duplicate_documents": (duplicate_documents, DUP_DOCS_SQL),
+    "long_ids": (long_ids, LONG_IDS_SQL),
     "column_quality": (
         column_quality,
         f"WITH {_quality_ctes(True)} SELECT dataset, col AS column, rows_ AS rows, missing, ok AS numeric, invalid, "

@@ -192,7 +192,7 @@ FROM asked JOIN ans ON report_id = k"""
 
 def first_sentences(spark, folder):
     """First three sentences of whole documents."""
-    rows = src.table(spark, folder, "documents", spread=True).select("doc_id", text.first_sentences("text", 3).alias("s"))
+    rows = src.table(spark, folder, "documents").select("doc_id", text.first_sentences("text", 3).alias("s"))
     return rows.select(
         "doc_id", F.size("s").cast("bigint").alias("n"), F.md5(F.array_join("s", "\n")).alias("digest")
     )
@@ -259,7 +259,10 @@ def chosen(spark, folder):
         F.array(F.lit("Why?")).alias("suggested_questions"),
         F.array(F.lit("Late data"), F.lit("Few rows")).alias("warnings"),
     )
-    out = facts.choose_texts(supplied, base, ["c_custkey"])
+    own = src.table(spark, folder, "customer").where("c_custkey % 4 <> 0").select(
+        "c_custkey", F.array(F.lit("Few rows")).alias("warnings")
+    )
+    out = facts.choose_texts(supplied, base, ["c_custkey"], own)
     return out.select(
         "c_custkey", "title", "summary", F.col("insights")[0]["title"].alias("insight"),
         F.col("story")[0]["id"].alias("story_id"), F.array_join("suggested_questions", "|").alias("questions"),
@@ -272,7 +275,8 @@ SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Report ' || c_mktsegment ELS
   CASE WHEN NOT g AND summary <> '' THEN summary ELSE 'Balance of ' || c_name END AS summary,
   CASE WHEN NOT g AND c_custkey % 3 = 0 THEN 'Own' ELSE 'Base' END AS insight,
   CASE WHEN g THEN 'f' ELSE 's' END AS story_id, 'Why?' AS questions,
-  'Late data|Check ' || c_mktsegment || '|Few rows' AS warnings FROM s"""
+  CASE WHEN c_custkey % 4 <> 0 THEN 'Few rows|Late data|Check ' || c_mktsegment
+       ELSE 'Late data|Check ' || c_mktsegment || '|Few rows' END AS warnings FROM s"""
 
 
 def defaults(spark, folder):

@@ -97,7 +97,7 @@ uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_query, ca
 
 
 def _examples(spark, folder):
-    return tc.generate(src.table(spark, folder, "events", spread=True).select("event_id"), "event_id")
+    return tc.generate(src.table(spark, folder, "events").select("event_id"), "event_id")
 
 
 def generate(spark, folder):
@@ -197,7 +197,7 @@ _ARGS = "CASE WHEN event_id % 7 = 2 THEN 'k: 1' ELSE replace(props, ' ', '') END
 
 
 def _public(spark, folder):
-    rows = src.table(spark, folder, "events", spread=True).selectExpr(
+    rows = src.table(spark, folder, "events").selectExpr(
         "event_id AS id", "event_type", _TOOLS + " AS tools", _ARGS + " AS args",
     )
     calls_type = "array<struct<type:string,function:struct<name:string,arguments:string>>>"
@@ -236,15 +236,17 @@ conv AS (SELECT id, E'Available tools:\\n- ' || event_type || CASE WHEN id % 11
 
 
 def blend(spark, folder):
-    """Domain rows plus public rows, 20 percent of their number."""
+    """Domain rows plus public rows, a fifth of their number."""
     train = stage(tc.chat_rows(_examples(spark, folder)), "train")
-    out = tc.blend(train, stage(_public(spark, folder), "public"), 400)
+    out = tc.blend(train, stage(_public(spark, folder), "public"), train.count() // 5)
     return out.select("id", F.col("_category").alias("category"), F.col("messages")[2]["content"].alias("answer"))
 
 
 BLEND_SQL = f"""WITH {EXAMPLE_CTES}, {PUBLIC_CTES},
-first AS (SELECT id FROM pub ORDER BY {_draw('public', 11, width=13)}, id LIMIT 1200),
-picked AS (SELECT conv.* FROM conv JOIN first USING (id) ORDER BY {_draw('public', 11, width=13)}, id LIMIT 400)
+ranked AS (SELECT id, row_number() OVER (ORDER BY {_draw('public', 11, width=13)}, id) AS r FROM pub),
+first AS (SELECT id FROM ranked WHERE r <= 3 * (SELECT count(*) // 5 FROM shown)),
+picked AS (SELECT * FROM (SELECT conv.*, row_number() OVER (ORDER BY {_draw('public', 11, width=13)}, id) AS r
+  FROM conv JOIN first USING (id)) WHERE r <= (SELECT count(*) // 5 FROM shown))
 SELECT id, category, answer FROM shown UNION ALL SELECT id, category, answer FROM picked"""
 
 # Model outputs derived from the true answers by id.
@@ -349,14 +351,14 @@ _METHOD = (
     "ELSE 'tools/call' END"
 )
 _PAYLOAD = (
-    "CASE WHEN event_id % 19 = 7 THEN 'not json' ELSE '{\"jsonrpc\":\"' || CASE WHEN event_id % 23 = 4 THEN '1.0' "
-    "ELSE '2.0' END || '\",\"id\":\"r' || event_id || '\",\"method\":\"' || method || '\",\"params\":{\"name\":\"' || tool "
+    "CASE WHEN event_id % 19 = 7 THEN 'not json' ELSE '{\"jsonrpc\":' || CASE WHEN event_id % 23 = 4 THEN '\"1.0\"' "
+    "WHEN event_id % 23 = 9 THEN '2.0' ELSE '\"2.0\"' END || ',\"id\":\"r' || event_id || '\",\"method\":\"' || method || '\",\"params\":{\"name\":\"' || tool "
     "|| '\",\"arguments\":{\"k\":' || event_id % 5 || '}}}' END"
 )
 
 
 def _requests(spark, folder):
-    rows = src.table(spark, folder, "events", spread=True).selectExpr(
+    rows = src.table(spark, folder, "events").selectExpr(
         "event_id", "user_id AS dataset_id", _TOOL + " AS tool", _METHOD + " AS method"
     )
     return rows.selectExpr("event_id", "dataset_id", _PAYLOAD + " AS payload")
@@ -369,7 +371,7 @@ def request_status(spark, folder):
 
 
 REQUEST_SQL = f"""WITH r AS (SELECT event_id, user_id, {_TOOL} AS tool, {_METHOD} AS method, event_id % 19 = 7 AS bad,
-  event_id % 23 = 4 AS old, user_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AS known FROM events),
+  event_id % 23 IN (4, 9) AS old, user_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AS known FROM events),
 s AS (SELECT *, bad OR old AS invalid, method = 'tools/call' AS is_call,
   tool IN ('calculate_kpis', 'generate_chart', 'generate_chart_set') AS live FROM r)
 SELECT event_id, CASE WHEN NOT bad THEN 'r' || event_id END AS request_id, CASE WHEN NOT bad THEN tool END AS tool,

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_staged: list[str] = []
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -41,6 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.conf.get("spark.app.id", "local")
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="trustkpi-")
+        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
     return _local_dirs[app]
 
 
@@ -53,5 +58,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staged_for(spark: SparkSession):
+    """Tables staged inside the block are deleted at its end.
+
+    For jobs that write their result inside the block: a result that is only read
+    later still needs them.
+    """
+    first = len(_staged)
+    try:
+        yield
+    finally:
+        for path in _staged[first:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _staged[first:]
