@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trustkpi.llm import classifier, decontamination, mixing, sharding, simhash
 from trustkpi.llm.queries import MIX, domain
 from trustkpi.llm.shared import row_key, table
-from trustkpi.session import shared_dir
+from trustkpi.session import shared_dir, staged_for
 
 
 def _packed(docs: DataFrame, *names: str) -> DataFrame:
@@ -72,10 +72,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    for number, (name, apply) in enumerate(STAGES):
-        docs = apply(spark, docs, sf_dir)
-        if number + 1 < len(STAGES):
-            path = f"{folder}/{number}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    for number, (name, apply) in enumerate(STAGES[:-1]):
+        path = f"{folder}/{number}-{name}"
+        with staged_for(spark):
+            apply(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -60,7 +60,8 @@ def _packed(ids: np.ndarray, bits: int, per_key: int) -> np.ndarray:
     key = np.zeros(len(ids), np.int64)
     for k in range(per_key):
         key <<= bits
-        key[: len(ids) - k] |= ids[k:]
+        if k < len(ids):
+            key[: len(ids) - k] |= ids[k:]
     return key
 
 

@@ -14,12 +14,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustkpi.llm.running import running_total
+from trustkpi.operators.running import running_total
 from trustkpi.llm.shared import without
 from trustkpi.session import stage
 
 SHARDS = 16
-ROUNDS = 6
+ROUNDS = 12
 _GRAIN = 1 << 20
 
 
