@@ -135,7 +135,7 @@ def chosen_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
         up = path.join(rungs[k].hint("merge"), ["tree", "node"]).select(
             "tree", "leaf", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back")
         )
-        path = path.unionByName(up)
+        path = stage(path.unionByName(up), "paths")  # read twice by the next step: without this the plan would double
     return path
 
 
