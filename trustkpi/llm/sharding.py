@@ -9,6 +9,8 @@ left plus what moves the other way. At the end sizes are made exact.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,17 +53,17 @@ def propagate(links: DataFrame, capacity: int, shards: int = SHARDS, rounds: int
             F.struct(F.col(f"v{k}").alias("v"), F.xxhash64("lead", F.lit(k)).alias("draw"), F.lit(k).alias("k"))
             for k in shard
         ]
-        # The figures of a round are array literals, so that all rounds share their compiled code.
-        free = F.array(*[F.lit(room[k] > 0) for k in shard])
-        open_to = [F.when((F.col("label") == k) | free[k], rated[k]) for k in shard]
+        open_to = [F.when((F.col("label") == k) | F.lit(room[k] > 0), rated[k]) for k in shard]
         asked = stage(votes.select("node", "label", F.array_max(F.array(*open_to))["k"].alias("to")), "asked")
         moves = asked.where("`to` <> label")
         wants = {(r["label"], r["to"]): r["n"] for r in moves.groupBy("label", "to").agg(F.count("*").alias("n")).collect()}
         if not wants:
             break
         share = _quotas(wants, room)
-        limits = F.array(*[F.lit(int(share.get((a, b), 0) * _GRAIN)) for a in shard for b in shard])
-        limit = F.get(limits, F.col("label") * shards + F.col("to"))
+        limit = reduce(
+            lambda c, k: F.when((F.col("label") == k[0]) & (F.col("to") == k[1]), int(share[k] * _GRAIN)).otherwise(c),
+            sorted(share), F.lit(0),
+        )
         goes = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(_GRAIN)) < limit
         labels = asked.select("node", F.when(goes, F.col("to")).otherwise(F.col("label")).alias("label"))
         state = stage(state.drop("label").join(labels.hint("merge"), "node"), "labels")
