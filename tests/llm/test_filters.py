@@ -146,6 +146,22 @@ def brute_overlap(text, items):
     return len(w), len(hit), len(names), digest, bool(hit) and 20 * len(hit) >= len(w)
 
 
+def brute_longest(text, items):
+    lower = lambda t: BENCH_WORD.findall((t or "").lower())
+    w, best = lower(text), None
+    for name, item in items:
+        iw = lower(item)
+        for a in range(len(w)):
+            for b in range(len(iw)):
+                n = 0
+                while a + n < len(w) and b + n < len(iw) and w[a + n] == iw[b + n]:
+                    n += 1
+                if n and n >= min(13, len(iw)):
+                    found = (-n, str(name) if name is not None else "", a)
+                    best = min(best or found, found)
+    return best
+
+
 @pytest.mark.parametrize("block_bytes", [16_000_000, 150])
 def test_overlaps_match_brute_force(frame, block_bytes):
     passage = " ".join(f"w{i}" for i in range(30))
@@ -161,8 +177,9 @@ def test_overlaps_match_brute_force(frame, block_bytes):
     got = found.select("doc_id", "text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
     assert sorted(map(tuple, got), key=key) == sorted(((d, t, *brute_overlap(t, items)) for d, t in docs), key=key)
-    longest = {(r.doc_id, r.text): r.longest for r in found.collect()}[docs[0]]
-    assert (longest.length, longest.item, longest.start) == (30, "1", 50)
+    for r in found.collect():
+        longest = (-r.longest.length, r.longest.item, r.longest.start) if r.longest else None
+        assert longest == brute_longest(r.text, items), r
 
 
 def test_overlaps_with_empty_tables(frame):

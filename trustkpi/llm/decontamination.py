@@ -127,6 +127,7 @@ def search(texts: list[list[bytes]], block: Block, window: int = WINDOW):
     hit = np.zeros(len(ids) + 1, np.int64)
     items: dict[int, set[int]] = {}
     longest: dict[int, tuple[int, int, int]] = {}
+    ends: list[tuple[np.ndarray, int, int]] = []  # (places, length of the match that starts there, item)
     if total and block.items:
         key = _packed(ids, block.bits, per_key)
         sa = suffix_array(ids, key, per_key, depth)
@@ -154,18 +155,21 @@ def search(texts: list[list[bytes]], block: Block, window: int = WINDOW):
                 doc_of = np.searchsorted(starts, found, side="right") - 1
                 for d in np.unique(doc_of):
                     items.setdefault(int(d), set()).add(number)
-                # Longest match of this suffix: go on while any training suffix still agrees.
+                # Longest matches start where the word before differs; places that stop agreeing fall out word by word.
+                if at and (ids[found - 1] == item[at - 1]).all():
+                    continue
                 reach = size
-                while reach < len(sub):
-                    step = _narrow(key, sa, low, high, sub, reach, 1, block.bits, per_key)
-                    if step[0] >= step[1]:
-                        break
-                    low, high, reach = *step, reach + 1
-                for p in sa[low:high]:
-                    d = int(np.searchsorted(starts, p, side="right") - 1)
-                    best = (reach, -number, -int(p - starts[d]))
-                    if best > longest.get(d, (0, 0, 0)):
-                        longest[d] = best
+                while low < high:
+                    a, b = _narrow(key, sa, low, high, sub, reach, 1, block.bits, per_key) if reach < len(sub) else (high, high)
+                    ends += [(part, reach, number) for part in (sa[low:a], sa[b:high]) if len(part)]
+                    low, high, reach = a, b, reach + 1
+    if ends:
+        place = np.concatenate([part for part, _, _ in ends])
+        reach, number = (np.repeat([e[k] for e in ends], [len(e[0]) for e in ends]) for k in (1, 2))
+        doc = np.searchsorted(starts, place, side="right") - 1
+        order = np.lexsort((place, number, -reach, doc))
+        for i in order[np.append(True, np.diff(doc[order]) > 0)]:
+            longest[int(doc[i])] = (int(reach[i]), int(number[i]), int(place[i] - starts[doc[i]]))
     covered = np.cumsum(hit)[:-1] > 0
     return [covered[s : s + n] for s, n in zip(starts, lengths)], items, longest
 
@@ -198,7 +202,7 @@ def _pass(docs: DataFrame, block: Block, window: int, text_col: str, keep, merge
         best = []
         for d in range(len(texts)):
             length, number, start = longest.get(d, (0, 0, 0))
-            best.append({"length": length, "item": block.names[-number], "start": -start} if length else None)
+            best.append({"length": length, "item": block.names[number], "start": start} if length else None)
         columns = [
             [len(w) for w in words], [_spans(m) for m in masks],
             [sorted({block.names[i] for i in items.get(d, ())}) for d in range(len(texts))], best,
@@ -226,6 +230,12 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int
     return count, fetch
 
 
+def _better(one: str, other: str):
+    """Whether match ``one`` is the longer, or as long with the smaller item id; a null match is the shortest."""
+    size, least = (F.coalesce(F.col(f"{m}.length"), F.lit(0)) for m in (one, other))
+    return (size > least) | ((size == least) & (F.col(f"{one}.item") < F.col(f"{other}.item")))
+
+
 def _finish(found: DataFrame, names: list[str]) -> DataFrame:
     union = F.aggregate(
         F.array_sort("_spans"),
@@ -254,7 +264,8 @@ def find_overlaps(
     """Rows of ``docs`` with n_words, n_hit, n_items, items_sha256, contaminated and the longest match.
 
     ``items`` lists the ids of items that share a window with the document, as text in
-    order; ``longest`` is the longest verbatim match (length in words, item, start word).
+    order; ``longest`` is the document's longest verbatim match (length in words, item, start
+    word), of equal ones that of the smallest item id, then the first.
     Null texts have no words. Items with equal ids count once, an item without id has the
     id ''. An empty benchmark leaves every document clean, and repeated rows get equal
     results. A column that has the name of a new one is replaced.
@@ -274,8 +285,6 @@ def find_overlaps(
         out = out.withColumns({
             "_spans": F.concat("_spans", "_spans2"),
             "_items": F.array_sort(F.array_union("_items", "_items2")),
-            "_longest": F.when(
-                F.col("_longest").isNull() | (F.col("_longest2.length") > F.col("_longest.length")), F.col("_longest2")
-            ).otherwise(F.col("_longest")),
+            "_longest": F.when(_better("_longest2", "_longest"), F.col("_longest2")).otherwise(F.col("_longest")),
         }).drop("_words2", "_spans2", "_items2", "_longest2")
     return _finish(out, carried)
