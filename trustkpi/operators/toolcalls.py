@@ -9,6 +9,7 @@ from trustkpi import fixed
 from trustkpi.functions import draws
 from trustkpi.functions.text import fill, text_array
 from trustkpi.operators.ranking import take_lowest
+from trustkpi.session import stage
 
 SEED, SPLIT_SEED, BLEND_SEED = 42, 7, 11
 
@@ -362,3 +363,15 @@ def blend(train: DataFrame, public: DataFrame, n: int, seed: int = BLEND_SEED) -
     both = train.select("id", "messages", "_category", "_difficulty").unionByName(chosen)
     shuffled = draws.wide_draw(F.concat_ws(":", "_category", F.col("id").cast("string")), seed, "shuffle")
     return both.orderBy(shuffled, "_category", "id")
+
+
+def training_set(examples: DataFrame, public: DataFrame, share: float = 0.2) -> DataFrame:
+    """Chat rows with ``split`` from raw records: valid ones, first of equal ones, split, public rows in train.
+
+    Public rows come to ``share`` of the domain rows in train; validation and test rows stay as they are.
+    """
+    unique = stage(distinct_examples(valid_examples(examples)), "examples")
+    rows = stage(chat_rows(split(unique)), "chat-rows")
+    train = rows.where("split = 'train'")
+    blended = blend(train, public, int(train.count() * share)).withColumn("split", F.lit("train"))
+    return rows.where("split <> 'train'").unionByName(blended)

@@ -148,8 +148,9 @@ def validate(spark, folder):
 
 _HAS_KPI = "category IN ('clean', 'noisy', 'adversarial', 'multi_step')"
 _HAS_CHART = "category IN ('chart_only', 'multi_step')"
-VALIDATE_SQL = f"""WITH {EXAMPLE_CTES} SELECT id, category FROM ex WHERE category = 'no_tool' OR (
+_VALID = f"""category = 'no_tool' OR (
   id % 13 NOT IN (1, 2) AND NOT (id % 13 = 3 AND {_HAS_KPI}) AND NOT (id % 13 = 4 AND {_HAS_CHART}))"""
+VALIDATE_SQL = f"WITH {EXAMPLE_CTES} SELECT id, category FROM ex WHERE {_VALID}"
 
 
 def distinct(spark, folder):
@@ -249,6 +250,29 @@ picked AS (SELECT * FROM (SELECT conv.*, row_number() OVER (ORDER BY {_draw('pub
   FROM conv JOIN first USING (id)) WHERE r <= (SELECT count(*) // 5 FROM shown))
 SELECT id, category, answer FROM shown UNION ALL SELECT id, category, answer FROM picked"""
 
+
+def training_set(spark, folder):
+    """From generated records, some of them broken, to the rows of each split."""
+    out = tc.training_set(stage(_spoiled(spark, folder), "records"), stage(_public(spark, folder), "public"))
+    return out.select("id", "split", F.col("_category").alias("category"), F.col("messages")[2]["content"].alias("answer"))
+
+
+TRAINING_SET_SQL = f"""WITH {EXAMPLE_CTES}, {PUBLIC_CTES},
+once AS MATERIALIZED (SELECT * FROM (SELECT id, category, answer, category = 'adversarial' AS hard,
+  row_number() OVER (PARTITION BY user_query, category, canonical ORDER BY id) AS copy FROM shown WHERE {_VALID})
+  WHERE copy = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY hard ORDER BY {_draw('split', 7, width=13)}, id) AS place,
+  count(*) OVER (PARTITION BY hard) AS n FROM once),
+dealt AS MATERIALIZED (SELECT id, category, answer, CASE WHEN hard AND place <= floor(n * 0.3) THEN 'train'
+  WHEN hard THEN 'adversarial_test' WHEN place <= greatest(1, floor(n * 0.1)) THEN 'val' ELSE 'train' END AS split
+  FROM placed),
+size AS (SELECT count(*) // 5 AS k FROM dealt WHERE split = 'train'),
+ranked AS (SELECT id, row_number() OVER (ORDER BY {_draw('public', 11, width=13)}, id) AS r FROM pub),
+first AS (SELECT id FROM ranked WHERE r <= 3 * (SELECT k FROM size)),
+picked AS (SELECT * FROM (SELECT conv.*, row_number() OVER (ORDER BY {_draw('public', 11, width=13)}, id) AS r
+  FROM conv JOIN first USING (id)) WHERE r <= (SELECT k FROM size))
+SELECT id, split, category, answer FROM dealt UNION ALL SELECT id, 'train' AS split, category, answer FROM picked"""
+
 # Model outputs derived from the true answers by id.
 _BROKEN = "substr(answer, 1, length(answer) - 3)"
 _OUTPUT = (
@@ -414,6 +438,7 @@ QUERIES = {
     "toolcall_chat_rows": (chat_rows, CHAT_ROWS_SQL),
     "toolcall_convert_public": (convert, f"WITH {PUBLIC_CTES} SELECT id, user_text, answer, category FROM conv"),
     "toolcall_blend": (blend, BLEND_SQL),
+    "toolcall_training_set": (training_set, TRAINING_SET_SQL),
     "eval_parse": (parsed_outputs, PARSED_SQL),
     "eval_known_columns": (known, KNOWN_SQL),
     "eval_scores": (
