@@ -181,3 +181,14 @@ def test_site_templates_go_and_prose_stays(frame, block_keys):
     got = {r.page_id: r.text for r in html_text.extract(pages, keep=["page_id"], block_keys=block_keys).collect()}
     assert got[3] == "Own text 3" and got[103] == "Same prose\nn3"
     assert got[201] == "Join our club\nCall now\nTop\nLone 1"
+
+
+def test_elements_in_and_around_article_prose_stay(frame):
+    body = "<p><b>Same lead.</b> n{0}</p><table><tr><td>Total</td><td><em>sum</em> {0}</td></tr></table><ul><li><a>Same link</a></ul>"
+    rows = [(i, "https://art.org/", f"<article>{body.format(i)}<div><b>Share</b></div></article>") for i in range(30)]
+    rows += [(100 + i, "https://box.org/", f"<div><p>Same box</p></div><p>Own {i}</p>") for i in range(30)]
+    rows += [(200, "https://box.org/", "<article><div><p>Same box</p></div><p>Own</p></article>")]
+    pages = frame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages, keep=["page_id"]).collect()}
+    assert got[3] == "Same lead. n3\nTotal sum 3\nSame link"
+    assert got[103] == "Own 3" and got[200] == "Same box\nOwn"

@@ -3,8 +3,8 @@
 Every element's subtree is hashed over its tags and text. Spark counts on how many pages
 of a host each hash occurs; subtrees that recur on many pages of their host are template
 and go. So do parts whose tag, role or class says what they are (menus, adverts, forms …).
-Inside an article or main element, paragraphs, headings and lists are never template:
-pages may well repeat each other's prose.
+Inside an article or main element, paragraphs, headings, lists and tables are never
+template, nor is any element in them or around them: pages may well repeat each other's prose.
 """
 
 from __future__ import annotations
@@ -53,10 +53,10 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Node:
-    __slots__ = ("tag", "children", "drop", "key")
+    __slots__ = ("tag", "children", "drop", "key", "kept")
 
     def __init__(self, tag: str, drop: bool):
-        self.tag, self.children, self.drop, self.key = tag, [], drop, 0
+        self.tag, self.children, self.drop, self.key, self.kept = tag, [], drop, 0, False
 
 
 def _unwanted(tag: str, attrs) -> bool:
@@ -119,20 +119,24 @@ def parse(html: bytes | None) -> _Node:
 
 
 def _walk(root: _Node):
-    """(node, inside main content) of all elements, children before their parents."""
-    order, todo = [], [(root, False)]
+    """(node, inside main content, below its prose) of all elements, children before their parents."""
+    order, todo = [], [(root, False, False)]
     while todo:
-        node, inside = todo.pop()
+        node, inside, below = todo.pop()
         inside = inside or node.tag in ("article", "main")
-        order.append((node, inside))
-        todo += [(c, inside) for c in node.children if isinstance(c, _Node)]
+        order.append((node, inside, below))
+        below = below or inside and node.tag in _PROSE
+        todo += [(c, inside, below) for c in node.children if isinstance(c, _Node)]
     return reversed(order)
 
 
 def hash_subtrees(root: _Node) -> list[int]:
-    """Set every node's key; return the keys of subtrees that may be template."""
+    """Set every node's key and whether it is kept; return the keys of subtrees that may be template.
+
+    Prose of the main content is kept with all that is in it and the elements around it.
+    """
     may, prose = [], set()
-    for node, inside in _walk(root):
+    for node, inside, below in _walk(root):
         parts = [node.tag]
         is_prose = node.tag in _PROSE
         for child in node.children:
@@ -143,10 +147,11 @@ def hash_subtrees(root: _Node) -> list[int]:
                 parts.append(text)
         if is_prose:
             prose.add(id(node))
+        outer = node.tag in ("#root", "html", "body", "article", "main")
+        node.kept = outer or below or inside and is_prose
         if len(parts) > 1:
             node.key = xxh64_intdigest("\x00".join(parts))
-            outer = node.tag in ("#root", "html", "body", "article", "main")
-            if not outer and not node.drop and not (inside and is_prose):
+            if not node.kept and not node.drop:
                 may.append(node.key)
     return may
 
@@ -163,35 +168,33 @@ def site_keys(root: _Node, host: str) -> list[int]:
 
 
 def main_text(root: _Node, host: str, templates) -> str:
-    """Blocks of the main content, without unwanted parts and templates."""
+    """Blocks of the main content, without unwanted parts and templates; needs ``hash_subtrees``."""
     seed = xxh64_intdigest(host)
     blocks: list[list[str]] = [[]]
 
-    def gone(node, inside):
+    def gone(node):
         if node.drop:
             return True
-        protected = inside and node.tag in _PROSE or node.tag in ("html", "body", "article", "main")
-        return bool(templates) and not protected and node.key and (
+        return bool(templates) and not node.kept and node.key and (
             xxh64_intdigest(node.key.to_bytes(8, "little"), seed=seed) in templates
         )
 
-    def gather(start, inside):
-        todo = [(start, inside, False)]
+    def gather(start):
+        todo = [(start, False)]
         while todo:
-            item, within, done = todo.pop()
+            item, done = todo.pop()
             if isinstance(item, str):
                 blocks[-1].append(item)
             elif done:
                 blocks.append([])
-            elif not gone(item, within):
+            elif not gone(item):
                 block = item.tag in _BLOCK
-                within = within or item.tag in ("article", "main")
                 if block:
                     blocks.append([])
-                    todo.append((item, within, True))
+                    todo.append((item, True))
                 elif item.tag in ("br", "td", "th"):
                     blocks[-1].append(" ")
-                todo += [(c, within, False) for c in reversed(item.children)]
+                todo += [(c, False) for c in reversed(item.children)]
 
     roots, todo = [], [root]
     while todo:
@@ -201,11 +204,11 @@ def main_text(root: _Node, host: str, templates) -> str:
         elif not node.drop:
             todo += [c for c in reversed(node.children) if isinstance(c, _Node)]
     for node in roots:
-        gather(node, False)
+        gather(node)
     joined = [" ".join("".join(b).split()) for b in blocks]
     if not any(joined):  # no article, or an empty one: the whole body
         blocks[:] = [[]]
-        gather(root, False)
+        gather(root)
         joined = [" ".join("".join(b).split()) for b in blocks]
     return "\n".join(b for b in joined if b)
 
