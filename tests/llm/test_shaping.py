@@ -192,3 +192,14 @@ def test_elements_in_and_around_article_prose_stay(frame):
     got = {r.page_id: r.text for r in html_text.extract(pages, keep=["page_id"]).collect()}
     assert got[3] == "Same lead. n3\nTotal sum 3\nSame link"
     assert got[103] == "Own 3" and got[200] == "Same box\nOwn"
+
+
+def test_shards_propagate_until_no_row_asks_to_move(spark, frame):
+    sizes, shards = [300] + [10] * 60, 8
+    links = frame([(h * 1000 + i, h) for h, n in enumerate(sizes) for i in range(n)], "node bigint, hub bigint")
+    capacity = -(-sum(sizes) // shards)
+    found = sharding.propagate(links, capacity, shards).join(links, "node").collect()
+    assert len(found) == sum(sizes)
+    held, filled = Counter((r.hub, r.label) for r in found), Counter(r.label for r in found)
+    free = [k for k in range(shards) if filled[k] < capacity]
+    assert not [r for r in found if any(held[r.hub, k] > held[r.hub, r.label] for k in free)]

@@ -4,22 +4,21 @@ Links are given as (node, hub): nodes of one hub are linked to each other. A hub
 one row with its members per shard, so a hub with very many members costs no more than
 its link rows. Each round every node looks up its hubs' counts and asks for the shard
 that holds most of its neighbours; moves between two shards are admitted up to the room
-left plus what moves the other way. At the end sizes are made exact.
+left plus what moves the other way. Rounds go on until no node asks for another shard. At
+the end sizes are made exact.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustkpi.operators.running import running_total
 from trustkpi.llm.shared import without
-from trustkpi.session import stage
+from trustkpi.session import drop_staged, stage, staged_count
 
 SHARDS = 16
-ROUNDS = 8
 _GRAIN = 1 << 20
 
 
@@ -33,12 +32,21 @@ def _quotas(wants: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[in
     }
 
 
-def propagate(links: DataFrame, capacity: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """(node, label) of all linked nodes after ``rounds`` of moves; links has ``node`` and ``hub``."""
+def propagate(links: DataFrame, capacity: int, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
+    """(node, label) of all linked nodes when none asks to move; links has ``node`` and ``hub``.
+
+    With one hub per node this ends: all moves of a hub go to one shard, which holds no
+    fewer of its nodes than the shard they leave, so the pairs that share a shard grow in
+    number with every move. Where nodes have several hubs, give the most ``rounds`` to go.
+
+    The figures of a round come as small tables: all rounds have the same plan and compiled code.
+    """
+    spark, since = links.sparkSession, staged_count()
     first = F.pmod(F.xxhash64("node", F.lit("first")), F.lit(shards)).cast("int")
     state = stage(links.select("node", "hub", first.alias("label")), "labels")
     shard = range(shards)
-    for turn in range(rounds):
+    turn = 0
+    while rounds is None or turn < rounds:
         tally = state.groupBy("hub").agg(
             F.array(*[F.count(F.when(F.col("label") == k, 1)) for k in shard]).alias("members")
         )
@@ -48,25 +56,34 @@ def propagate(links: DataFrame, capacity: int, shards: int = SHARDS, rounds: int
         )
         sizes = {r["label"]: r["n"] for r in state.groupBy("label").agg(F.countDistinct("node").alias("n")).collect()}
         room = [capacity - sizes.get(k, 0) for k in shard]
+        free = spark.createDataFrame(pa.table({"free": pa.array([[n > 0 for n in room]], pa.list_(pa.bool_()))}))
         # Votes, then a draw that is the same for all nodes of a hub, so that ties end in one shard.
         rated = [
             F.struct(F.col(f"v{k}").alias("v"), F.xxhash64("lead", F.lit(k)).alias("draw"), F.lit(k).alias("k"))
             for k in shard
         ]
-        open_to = [F.when((F.col("label") == k) | F.lit(room[k] > 0), rated[k]) for k in shard]
-        asked = stage(votes.select("node", "label", F.array_max(F.array(*open_to))["k"].alias("to")), "asked")
+        open_to = [F.when((F.col("label") == k) | F.col("free")[k], rated[k]) for k in shard]
+        asked = stage(
+            votes.crossJoin(free).select("node", "label", F.array_max(F.array(*open_to))["k"].alias("to")), "asked"
+        )
         moves = asked.where("`to` <> label")
         wants = {(r["label"], r["to"]): r["n"] for r in moves.groupBy("label", "to").agg(F.count("*").alias("n")).collect()}
         if not wants:
             break
-        share = _quotas(wants, room)
-        limit = reduce(
-            lambda c, k: F.when((F.col("label") == k[0]) & (F.col("to") == k[1]), int(share[k] * _GRAIN)).otherwise(c),
-            sorted(share), F.lit(0),
+        share = sorted(_quotas(wants, room).items())
+        # A limit of 0 would let a single place among very many moves stay free for ever.
+        limits = spark.createDataFrame(pa.table({
+            "label": pa.array([a for (a, _), _ in share], pa.int32()), "to": pa.array([b for (_, b), _ in share], pa.int32()),
+            "limit": pa.array([max(1, int(part * _GRAIN)) for _, part in share], pa.int64()),
+            "turn": pa.array([turn] * len(share), pa.int32()),
+        }))
+        goes = F.pmod(F.xxhash64("node", "turn"), F.lit(_GRAIN)) < F.coalesce("limit", F.lit(0))
+        labels = asked.join(limits, ["label", "to"], "left").select(
+            "node", F.when(goes, F.col("to")).otherwise(F.col("label")).alias("label")
         )
-        goes = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(_GRAIN)) < limit
-        labels = asked.select("node", F.when(goes, F.col("to")).otherwise(F.col("label")).alias("label"))
         state = stage(state.drop("label").join(labels.hint("merge"), "node"), "labels")
+        drop_staged(spark, since, keep=1)  # only the last labels are read again
+        turn += 1
     return state.select("node", "label").distinct()
 
 
@@ -102,7 +119,7 @@ def even_out(nodes: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def shard_documents(
-    docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shards: int = SHARDS, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Every row of ``docs`` as (id, size, text_crc32, law, shard, slot, grown_shard), under the law ``rows``.
 

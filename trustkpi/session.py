@@ -63,6 +63,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_count() -> int:
+    """Number of staged tables that exist, for ``drop_staged``."""
+    return len(_staged)
+
+
+def drop_staged(spark: SparkSession, first: int, keep: int = 0) -> None:
+    """Delete the tables staged since there were ``first``, but not the last ``keep``."""
+    end = max(first, len(_staged) - keep)
+    for path in _staged[first:end]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del _staged[first:end]
+
+
 @contextmanager
 def staged_for(spark: SparkSession):
     """Tables staged inside the block are deleted at its end.
@@ -70,11 +84,8 @@ def staged_for(spark: SparkSession):
     For jobs that write their result inside the block: a result that is only read
     later still needs them.
     """
-    first = len(_staged)
+    first = staged_count()
     try:
         yield
     finally:
-        for path in _staged[first:]:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        del _staged[first:]
+        drop_staged(spark, first)
