@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trustkpi.llm import (
-    chat, classifier, decontamination, html_text, mixing, quality_rules, recompression, secret_scan, sharding, simhash,
+    chat, classifier, decontamination, divergence, html_text, mixing, quality_rules, recompression, secret_scan, sharding,
+    simhash,
 )
 from trustkpi.llm.shared import table
 
@@ -79,6 +80,10 @@ def op10_simhash(spark, folder):
     return found.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_source_divergence(spark, folder):
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": (op1_secret_scan, None),
     "op2_sharding": (op2_sharding, None),
@@ -90,4 +95,5 @@ QUERIES = {
     "op8_substring_dedup": (op8_substring_dedup, None),
     "op9_html_text": (op9_html_text, None),
     "op10_simhash": (op10_simhash, None),
+    "op11_source_divergence": (op11_source_divergence, divergence.SQL),
 }
