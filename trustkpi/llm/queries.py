@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trustkpi.llm import (
-    chat, classifier, decontamination, divergence, html_text, mixing, quality_rules, recompression, secret_scan, sharding,
-    simhash,
+    chat, classifier, decontamination, divergence, html_text, mixing, prefix_trie, quality_rules, recompression, secret_scan,
+    sharding, simhash,
 )
 from trustkpi.llm.shared import table
 
@@ -84,6 +84,10 @@ def op11_source_divergence(spark, folder):
     return divergence.audit(table(spark, folder, "documents"))
 
 
+def op12_prefix_trie(spark, folder):
+    return prefix_trie.rebuilt_trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_secret_scan": (op1_secret_scan, None),
     "op2_sharding": (op2_sharding, None),
@@ -96,4 +100,5 @@ QUERIES = {
     "op9_html_text": (op9_html_text, None),
     "op10_simhash": (op10_simhash, None),
     "op11_source_divergence": (op11_source_divergence, divergence.SQL),
+    "op12_prefix_trie": (op12_prefix_trie, prefix_trie.SQL),
 }

@@ -66,3 +66,19 @@ def text_map(df: DataFrame, compute, fields: str, text_col: str = "text", keep:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carried))), *arrays], names)
 
     return arrow_map(source, run, T.StructType([*source.schema.fields[: len(carried)], *added.fields]))
+
+
+# Pieces the rows of one key are dealt to when a value of that key is attached to them.
+PIECES = 64
+
+
+def attach_dealt(rows: DataFrame, values: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``values``, which has at most one row per key ``on``.
+
+    The rows of a key are dealt to ``PIECES`` by the columns ``by``: the values are first joined to
+    the pieces that occur, then to the rows of each, so no task gets all rows of a hot key. Keys
+    are never null. Stage ``rows`` before: they are read twice.
+    """
+    dealt = rows.withColumn("_piece", F.pmod(F.xxhash64(*by), F.lit(PIECES)).cast("int"))
+    found = dealt.select(*on, "_piece").distinct().join(values.hint("merge"), on)
+    return dealt.join(found.hint("merge"), [*on, "_piece"], how).drop("_piece")
