@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trustkpi.llm import (
-    chat, classifier, decontamination, divergence, html_text, mixing, prefix_trie, quality_rules, recompression, secret_scan,
-    sharding, simhash,
+    chat, classifier, decontamination, divergence, html_text, mixing, personal_data, prefix_trie, quality_rules,
+    recompression, secret_scan, sharding, simhash,
 )
 from trustkpi.llm.shared import table
 
@@ -88,6 +88,10 @@ def op12_prefix_trie(spark, folder):
     return prefix_trie.rebuilt_trie(table(spark, folder, "conversations"))
 
 
+def op13_personal_data(spark, folder):
+    return personal_data.digest(personal_data.scan(table(spark, folder, "documents"), keep=["doc_id"]))
+
+
 QUERIES = {
     "op1_secret_scan": (op1_secret_scan, None),
     "op2_sharding": (op2_sharding, None),
@@ -101,4 +105,5 @@ QUERIES = {
     "op10_simhash": (op10_simhash, None),
     "op11_source_divergence": (op11_source_divergence, divergence.SQL),
     "op12_prefix_trie": (op12_prefix_trie, prefix_trie.SQL),
+    "op13_personal_data": (op13_personal_data, None),
 }
