@@ -58,7 +58,7 @@ def test_ranks_with_infinities_and_many_magnitudes(spark):
 def test_blank_only_column_counts_as_missing(spark):
     raw = texts(spark, ["a", "b", "c"], [(f"x{i}", " ", None) for i in range(24)])
     cleaned = clean.clean(raw)
-    report = quality.quality_report(cleaned, (), clean.present_columns(raw)).first()
+    report = quality.quality_report(cleaned, (), clean.present_columns(clean.raw_state(raw))).first()
     assert report["missing_values"] == {"a": 0, "b": 24}
     assert report["quality_score"] == 0.75
 

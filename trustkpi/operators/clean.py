@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trustkpi import fixed
 from trustkpi.functions import numbers, text
+from trustkpi.operators.column_state import column_state, exact_limit, long_rows, with_distinct
 from trustkpi.operators.keyed import Keys, attach, cols, data_columns
 from trustkpi.session import stage
 
@@ -50,46 +51,46 @@ def drop_empty_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.where(F.coalesce(*[F.col(f"`{c}`").isNotNull() | F.lit(None) for c in columns], F.lit(False)))
 
 
-def long_values(df: DataFrame, keys: Keys, columns: Sequence[str]) -> DataFrame:
-    """Distinct values of every column with their counts: (keys, column, value, n).
-
-    Copies of a value, hot or not, are combined before the shuffle.
-    """
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in columns]
-    )
-    return (
-        df.select(*cols(keys), F.inline(pairs))
-        .groupBy(*cols(keys), "column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def most_labels(non_null: Column) -> Column:
+    return F.greatest(F.lit(fixed.LOW_CARDINALITY_FLOOR), F.floor(non_null * F.lit(fixed.LOW_CARDINALITY_RATIO)))
 
 
 def is_low_cardinality(distinct: Column, non_null: Column) -> Column:
-    ceiling = F.greatest(
-        F.lit(fixed.LOW_CARDINALITY_FLOOR), F.floor(non_null * F.lit(fixed.LOW_CARDINALITY_RATIO))
+    return distinct.between(2, most_labels(non_null))
+
+
+def _cells(raw: DataFrame, keys: Keys, columns: Sequence[str]) -> DataFrame:
+    cells = long_rows(raw, keys, columns).withColumn("held", F.col("value").isNotNull())
+    return cells.withColumn("value", text.normalize_text("value"))
+
+
+def raw_state(raw: DataFrame, keys: Keys = ()) -> DataFrame:
+    """What one pass over the raw rows tells of each column: see ``column_state``.
+
+    ``integer``, ``number`` and ``boolean`` tell that no value is anything else, ``held`` that there is
+    a raw value; a blank is one, NULL is not. ``distinct`` is exact wherever it can decide between label and text.
+    """
+    cells = _cells(raw, keys, data_columns(raw, keys, POSITION))
+    state = column_state(
+        cells, keys,
+        [
+            F.bool_and(numbers.looks_integer("value")).alias("integer"),
+            F.bool_and(numbers.looks_number("value")).alias("number"),
+            F.bool_and(numbers.looks_boolean("value")).alias("boolean"),
+            F.bool_or("held").alias("held"),
+        ],
     )
-    return distinct.between(2, ceiling)
+    wordy = ~F.col("integer") & ~F.col("number") & ~F.col("boolean")
+    # More values than a sketch can count are too many for labels, unless the column may have as many labels.
+    return with_distinct(state, cells, keys, wordy & (most_labels(F.col("non_null")) >= exact_limit()))
 
 
-def column_rules(raw: DataFrame, keys: Keys, columns: Sequence[str]) -> DataFrame:
-    """How each column is standardised: (keys, rules MAP<column, rule>).
+def column_rules(state: DataFrame, keys: Keys = ()) -> DataFrame:
+    """How each column is standardised, from ``raw_state``: (keys, rules MAP<column, rule>).
 
     ``integer``, ``number`` and ``boolean`` columns hold nothing else; other
     columns are ``label`` when they have few distinct values, else ``text``.
     """
-    values = long_values(
-        raw.select(*cols(keys), *[text.normalize_text(F.col(f"`{c}`")).alias(c) for c in columns]),
-        keys,
-        columns,
-    ).where("value IS NOT NULL")
-    profile = values.groupBy(*cols(keys), "column").agg(
-        F.sum("n").alias("non_null"),
-        F.count("value").alias("distinct"),
-        F.bool_and(numbers.looks_integer("value")).alias("integer"),
-        F.bool_and(numbers.looks_number("value")).alias("number"),
-        F.bool_and(numbers.looks_boolean("value")).alias("boolean"),
-    )
     rule = (
         F.when(F.col("integer"), "integer")
         .when(F.col("number"), "number")
@@ -98,15 +99,15 @@ def column_rules(raw: DataFrame, keys: Keys, columns: Sequence[str]) -> DataFram
         .otherwise("text")
     )
     # One entry per column of the table.
-    return profile.groupBy(*cols(keys)).agg(
+    return state.where("non_null > 0").groupBy(*cols(keys)).agg(
         F.map_from_entries(F.collect_list(F.struct("column", rule.alias("rule")))).alias("rules")
     )
 
 
-def standardize(raw: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Text normalised, labels title-cased, equal numbers spelled equally."""
+def standardize(raw: DataFrame, keys: Keys = (), state: DataFrame | None = None) -> DataFrame:
+    """Text normalised, labels title-cased, equal numbers spelled equally; ``state`` as ``raw_state`` gives it."""
     columns = data_columns(raw, keys, POSITION)
-    rules = stage(column_rules(raw, keys, columns), "rules")
+    rules = stage(column_rules(raw_state(raw, keys) if state is None else state, keys), "rules")
     ruled = attach(raw, rules, keys)
     out = []
     for c in columns:
@@ -140,21 +141,20 @@ def drop_duplicates(standard: DataFrame, keys: Keys = ()) -> DataFrame:
     )
 
 
-def present_columns(raw: DataFrame, keys: Keys = ()) -> DataFrame:
-    """(keys, present ARRAY<column>): columns with any raw value; a blank is one, NULL is not."""
-    columns = data_columns(raw, keys, POSITION)
-    held = [F.when(F.count(F.col(f"`{c}`")) > 0, F.lit(c)) for c in columns]
-    return raw.groupBy(*cols(keys)).agg(F.array_compact(F.array(*held)).alias("present"))
+def present_columns(state: DataFrame, keys: Keys = ()) -> DataFrame:
+    """(keys, present ARRAY<column>): columns with any raw value, from ``raw_state``."""
+    return state.groupBy(*cols(keys)).agg(F.collect_list(F.when(F.col("held"), F.col("column"))).alias("present"))
 
 
-def clean(raw: DataFrame, keys: Keys = ()) -> DataFrame:
+def clean(raw: DataFrame, keys: Keys = (), state: DataFrame | None = None) -> DataFrame:
     """Raw text rows to distinct standardised rows (plus ``_copies``, ``_pos``).
 
-    Staged: quality, profile, role scoring and canonical rows all read it.
+    Staged: quality, profile, role scoring and canonical rows all read it. ``state`` is
+    ``raw_state`` of the same rows, if it is known already.
     """
     columns = data_columns(raw, keys, POSITION)
     rows = drop_empty_rows(raw, columns)
-    return stage(drop_duplicates(standardize(rows, keys), keys), "clean")
+    return stage(drop_duplicates(standardize(rows, keys, state), keys), "clean")
 
 
 def duplicate_summary(cleaned: DataFrame, keys: Keys = ()) -> DataFrame:

@@ -2,41 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustkpi.functions import dates, numbers
-from trustkpi.operators.clean import COPIES, POSITION, long_values
+from trustkpi.operators.clean import COPIES, POSITION
+from trustkpi.operators.column_state import column_state, long_rows, with_distinct
 from trustkpi.operators.keyed import Keys, attach, cols, data_columns
 
 
-def profile(cleaned: DataFrame, keys: Keys = ()) -> DataFrame:
+def profile(cleaned: DataFrame, keys: Keys = (), order: DataFrame | None = None) -> DataFrame:
     """(keys, column, pos, rows, non_null, distinct, date_ratio, number_ratio).
 
-    Values are grouped first and parsed once per distinct value. Numeric
-    columns are no date candidates. Columns without any value are left out.
+    One pass over the cells (see ``column_state``); a second one, over digests, only for columns with
+    more distinct values than a sketch counts. Numeric columns are no date candidates. Columns without
+    any value are left out. ``order`` (keys, column, pos) gives places that differ between datasets.
     """
     columns = data_columns(cleaned, keys, POSITION, COPIES)
-    values = long_values(cleaned, keys, columns)
-    n, v = F.col("n"), F.col("value")
-    parsed = values.select(
-        "*",
-        numbers.parse_number(v).isNotNull().alias("is_number"),
-        numbers.looks_number(v).alias("strict"),
+    cells = long_rows(cleaned, keys, columns)
+    v = F.col("value")
+    parsed = cells.select(
+        "*", numbers.parse_number(v).isNotNull().alias("is_number"), numbers.looks_number(v).alias("strict")
     ).withColumn("is_date", ~F.col("strict") & dates.parse_date(v).isNotNull())
-    counts = parsed.groupBy(*cols(keys), "column").agg(
-        F.sum(n).alias("rows"),
-        F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0)).alias("non_null"),
-        F.count(v).alias("distinct"),
-        F.coalesce(F.sum(F.when(F.col("is_date"), n)), F.lit(0)).alias("_dates"),
-        F.coalesce(F.sum(F.when(F.col("is_number"), n)), F.lit(0)).alias("_numbers"),
-        F.coalesce(F.bool_and("strict"), F.lit(False)).alias("_all_numeric"),
+    state = column_state(
+        parsed, keys,
+        [
+            F.count_if("is_date").alias("_dates"), F.count_if("is_number").alias("_numbers"),
+            F.coalesce(F.bool_and("strict"), F.lit(False)).alias("_all_numeric"),
+        ],
     )
-    position = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column")) - 1
-    return counts.where("non_null > 0").select(
+    counts = with_distinct(state, cells, keys, F.lit(True)).where("non_null > 0")
+    if order is None:
+        counts = counts.withColumn("pos", F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column")) - 1)
+    else:
+        counts = attach(counts, order, [*keys, "column"])
+    return counts.select(
         *cols(keys),
         "column",
-        position.cast("int").alias("pos"),
+        F.col("pos").cast("int").alias("pos"),
         "rows",
         "non_null",
         "distinct",
@@ -45,10 +48,10 @@ def profile(cleaned: DataFrame, keys: Keys = ()) -> DataFrame:
     )
 
 
-def profile_report(cleaned: DataFrame, keys: Keys = ()) -> DataFrame:
+def profile_report(cleaned: DataFrame, keys: Keys = (), order: DataFrame | None = None) -> DataFrame:
     """Semantic type, ratios to three decimals and three sample values per column."""
     columns = data_columns(cleaned, keys, POSITION, COPIES)
-    base = profile(cleaned, keys)
+    base = profile(cleaned, keys, order)
     kind = (
         F.when(F.col("date_ratio") >= 0.6, "date").when(F.col("number_ratio") >= 0.7, "number").otherwise("string")
     )
@@ -64,7 +67,7 @@ def profile_report(cleaned: DataFrame, keys: Keys = ()) -> DataFrame:
 
 
 def samples(cleaned: DataFrame, keys: Keys, columns: list[str], size: int = 3) -> DataFrame:
-    """First values of each column by row position: ``size`` running minima, no sort."""
+    """First ``size`` values of each column by row position; each task sends no more than that many."""
     pairs = F.array(
         *[
             F.when(
@@ -76,26 +79,8 @@ def samples(cleaned: DataFrame, keys: Keys, columns: list[str], size: int = 3) -
             for c in columns
         ]
     )
-    values = cleaned.select(*cols(keys), F.inline(F.array_compact(pairs)))
-    found = None
-    for _ in range(size):
-        left = values
-        if found is not None:
-            left = attach(values, found.select(*cols(keys), "column", "_last"), [*keys, "column"]).where(
-                "p > _last"
-            )
-        first = left.groupBy(*cols(keys), "column").agg(F.min(F.struct("p", "value")).alias("f"))
-        step = first.select(
-            *cols(keys), "column", F.col("f.p").alias("_last"), F.array("f.value").alias("_new")
-        )
-        if found is None:
-            found = step.withColumnRenamed("_new", "sample_values")
-        else:
-            grown = attach(found.drop("_last"), step, [*keys, "column"])
-            found = grown.select(
-                *cols(keys), "column", "_last",
-                F.concat("sample_values", F.coalesce("_new", F.array().cast("array<string>"))).alias(
-                    "sample_values"
-                ),
-            )
-    return found.drop("_last")
+    cells = cleaned.select(*cols(keys), F.inline(F.array_compact(pairs)))
+    rank = F.row_number().over(Window.partitionBy(*cols(keys), "column").orderBy("p", "value"))
+    first = cells.withColumn("_rank", rank).where(F.col("_rank") <= size)
+    listed = F.sort_array(F.collect_list(F.struct("_rank", "value")))
+    return first.groupBy(*cols(keys), "column").agg(listed["value"].alias("sample_values"))

@@ -66,11 +66,13 @@ def consistency_bonus(cleaned: DataFrame, pair: DataFrame, keys: Keys = ()) -> D
     """
     columns = data_columns(cleaned, keys, POSITION, COPIES)
     rows = attach(cleaned, pair, keys)
-    product = parse_number(pick(rows, F.col("price_col"), columns)) * parse_number(
-        pick(rows, F.col("quantity_col"), columns)
+    # The chosen texts first, so that the choice is made once and not in every step of the parse.
+    rows = rows.select(
+        *cols([*keys, *columns]), pick(rows, F.col("price_col"), columns).alias("_price"),
+        pick(rows, F.col("quantity_col"), columns).alias("_quantity"),
     )
     numeric = rows.select(
-        *cols(keys), product.alias("_calc"),
+        *cols(keys), (parse_number("_price") * parse_number("_quantity")).alias("_calc"),
         *[parse_number(F.col(f"`{c}`")).alias(f"_v{i}") for i, c in enumerate(columns)],
     ).where("_calc IS NOT NULL")
     measures = []
@@ -99,9 +101,9 @@ def consistency_bonus(cleaned: DataFrame, pair: DataFrame, keys: Keys = ()) -> D
     return wide.select(*cols(keys), F.inline(F.array(*entries)))
 
 
-def scored_candidates(cleaned: DataFrame, keys: Keys = ()) -> DataFrame:
+def scored_candidates(cleaned: DataFrame, keys: Keys = (), order: DataFrame | None = None) -> DataFrame:
     """All role scores with the consistency bonus added to revenue."""
-    scores = stage(role_scores(profile(cleaned, keys), keys), "scores")
+    scores = stage(role_scores(profile(cleaned, keys, order), keys), "scores")
     pair = best(scores.where(F.col("role").isin("price", "quantity")), keys)
     pair = stage(
         pair.groupBy(*cols(keys)).agg(
@@ -118,9 +120,12 @@ def scored_candidates(cleaned: DataFrame, keys: Keys = ()) -> DataFrame:
     return scores.where("role <> 'revenue'").unionByName(lifted)
 
 
-def detect_schema(cleaned: DataFrame, keys: Keys = ()) -> DataFrame:
-    """One row per key: role columns, role confidences, overall confidence."""
-    scores = stage(scored_candidates(cleaned, keys), "roles")
+def detect_schema(cleaned: DataFrame, keys: Keys = (), order: DataFrame | None = None) -> DataFrame:
+    """One row per key: role columns, role confidences, overall confidence.
+
+    ``order`` (keys, column, pos) gives the columns' places where they differ between datasets.
+    """
+    scores = stage(scored_candidates(cleaned, keys, order), "roles")
     chosen = best(scores.where("role <> 'region'"), keys)
     category = chosen.where("role = 'category'").select(*cols(keys), F.col("column").alias("_cat"))
     if not keys:

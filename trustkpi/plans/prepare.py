@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trustkpi import fixed
 from trustkpi.operators import quality
 from trustkpi.operators.canonical import canonicalize
-from trustkpi.operators.clean import clean, present_columns
+from trustkpi.operators.clean import clean, present_columns, raw_state
 from trustkpi.operators.keyed import Keys, attach, cols
 from trustkpi.operators.schema import detect_schema
 from trustkpi.session import stage
@@ -27,20 +27,24 @@ class Prepared:
     cleaned: DataFrame
 
 
-def prepare(raw: DataFrame, keys: Keys = (), expected: DataFrame | None = None) -> Prepared:
+def prepare(
+    raw: DataFrame, keys: Keys = (), expected: DataFrame | None = None, order: DataFrame | None = None
+) -> Prepared:
     """Clean, score, detect roles, type the rows and decide per dataset.
 
     ``raw`` holds text columns with clean headers, plus the keys and an
     optional ``_pos``. ``expected`` lists the keys that must get a status row
-    even when no usable row arrives.
+    even when no usable row arrives. ``order`` (keys, column, pos) gives the places of
+    the columns where datasets do not share one header; ties go to the first column.
     """
-    cleaned = clean(raw, keys)
-    present = stage(present_columns(raw, keys), "present")
+    state = raw_state(raw, keys)
+    cleaned = clean(raw, keys, state)
+    present = present_columns(state, keys)
     report = stage(quality.quality_report(cleaned, keys, present), "quality")
     # Datasets that the first gate stops get no roles and no canonical rows.
     going = quality.quality_gate(F.col("duplicate_percent"), F.col("quality_score"))
     sound = attach(cleaned, report.select(*cols(keys), going.alias("_sound")), keys).where("_sound").drop("_sound")
-    schema = stage(detect_schema(sound, keys), "schema")
+    schema = stage(detect_schema(sound, keys, order), "schema")
     canonical = stage(canonicalize(sound, schema, keys), "canonical")
     critical = quality.missing_critical_fields(canonical, keys)
     status = stage(_status(report, schema, critical, keys), "status")

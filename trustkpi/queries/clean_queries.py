@@ -256,7 +256,7 @@ conf AS (SELECT *, round(date_score * 0.4 + revenue_score * 0.4 + category_score
 
 def column_rules(spark, folder):
     raw = src.raw_sales(spark, folder, True)
-    return clean.column_rules(raw, KEY, DATA).select("dataset", F.explode("rules").alias("column", "rule"))
+    return clean.column_rules(clean.raw_state(raw, KEY), KEY).select("dataset", F.explode("rules").alias("column", "rule"))
 
 
 def cleaned_rows(spark, folder):
@@ -380,7 +380,7 @@ def profile_report(spark, folder):
     out = profile.profile_report(_detected(spark, folder), KEY)
     return out.select(
         "dataset", "column", "semantic_type", "non_null_ratio", "distinct_ratio",
-        F.when(~F.col("column").isin("price"), F.array_join("sample_values", "|")).alias("samples"),
+        F.array_join("sample_values", "|").alias("samples"),
     )
 
 
@@ -393,7 +393,7 @@ _SAMPLES = " UNION ALL ".join(
 PROFILE_REPORT_SQL = f"""WITH {_schema_ctes(False)}, samples AS ({_SAMPLES})
 SELECT dataset, p.col AS column, CASE WHEN dr >= 0.6 THEN 'date' WHEN rr >= 0.7 THEN 'number' ELSE 'string' END
   AS semantic_type, round(nn / rows_, 3) AS non_null_ratio, round(dv / nn, 3) AS distinct_ratio,
-  CASE WHEN p.col <> 'price' THEN samples END AS samples FROM prof p JOIN samples s USING (dataset, col)"""
+  samples FROM prof p JOIN samples s USING (dataset, col)"""
 
 
 def role_scores(spark, folder):
@@ -411,7 +411,7 @@ def consistency(spark, folder):
     pair = rows.select("dataset").distinct().select(
         "dataset", F.lit("price").alias("price_col"), F.lit("quantity").alias("quantity_col")
     )
-    return schema.consistency_bonus(rows, pair, KEY).where(~F.col("column").isin("notes"))
+    return schema.consistency_bonus(rows, pair, KEY)
 
 
 _NUM = {c: src.number_sql(q(c)) for c in DATA}
@@ -420,7 +420,7 @@ p AS (SELECT *, {_NUM['price']} * {_NUM['quantity']} AS calc FROM dedup),
 c AS ({' UNION ALL '.join(
     f"SELECT dataset, '{c}' AS col, count({_NUM[c]}) AS n, stddev_pop({_NUM[c]}) AS sv, "
     f"stddev_pop(calc) FILTER ({_NUM[c]} IS NOT NULL) AS sc, covar_pop({_NUM[c]}, calc) AS cv "
-    "FROM p WHERE calc IS NOT NULL GROUP BY dataset" for c in DATA if c != 'notes')})
+    "FROM p WHERE calc IS NOT NULL GROUP BY dataset" for c in DATA)})
 SELECT dataset, col AS column, CASE WHEN n >= 3 AND sv > 0 AND sc > 0
   THEN round(greatest(0, least(0.2, cv / (sv * sc) * 0.2)), 4) ELSE 0.0 END AS bonus FROM c"""
 
