@@ -188,7 +188,7 @@ def test_csv_scan(spark, tmp_path):
     rows = csvs.read_csv(spark, str(path), key="file")
     assert rows.columns == ["_pos", "file", "order date", "revenue", "revenue_1", "cat", "cat.1", "x, y"]
     first, second = rows.orderBy("_pos").collect()
-    assert first["revenue"] == "1,200" and first["x, y"] == 'q "z"' and first["file"] == "a"
+    assert first["revenue"] == "1,200" and first["x, y"] == 'q "z"' and first["file"].endswith("/a.csv")
     assert second["revenue"] is None and second["cat"] is None
     wide = tmp_path / "b.csv"
     wide.write_text('a,b\n1,2\n1,2,3\n1\n"x,y",2\n')
@@ -206,6 +206,47 @@ def test_csv_scan(spark, tmp_path):
         csvs.require_rows(csvs.read_csv(spark, str(header_only)))
 
 
+def test_csv_files_keep_their_own_headers(spark, tmp_path):
+    texts = {
+        "x/sales.csv": "Order Date,Revenue,Region,Kind\n" + "".join(
+            f"2024-01-{d:02d},{100 + 7 * d},{'North' if d % 2 else 'South'},{'A' if d % 3 else 'B'}\n" for d in range(1, 25)),
+        "y/sales.csv": "\n \nKind,Region,net-revenue,date\n" + "".join(
+            f"{'C' if d % 3 else 'D'},{'East' if d % 2 else 'West'},${50 + d},2024-02-{d:02d}\n" for d in range(1, 25)),
+        "z/a b+c[1].csv": "Kind,Region,net-revenue,date\nC,East,1,2024-02-01,9\n",
+        "empty.csv": "", "blank.csv": "\n\n", "header.csv": "Order Date,Revenue\n",
+    }
+    for name, text in texts.items():
+        place = tmp_path / name
+        place.parent.mkdir(exist_ok=True)
+        place.write_text(text)
+    paths = [str(tmp_path), *(str(tmp_path / d) for d in "xyz")]
+    files = csvs.list_files(spark, paths)
+    assert len(files.scans) == 3 and files.found.count() == 6
+    rows = files.rows("dataset", surplus="drop")
+    name = {p.rsplit(str(tmp_path) + "/", 1)[1]: p for p in (r.path for r in files.found.collect())}
+    assert set(name) == set(texts)
+    got = {r.dataset: r for r in rows.groupBy("dataset").agg(F.count("*").alias("n"), F.max("revenue").alias("a"), F.max("net revenue").alias("b")).collect()}
+    assert {k: (r.n, r.a, r.b) for k, r in got.items()} == {name["x/sales.csv"]: (24, "268", None), name["y/sales.csv"]: (24, None, "$74")}
+    order = {(r.dataset, r.column): r.pos for r in files.columns("dataset").collect()}
+    assert order[name["x/sales.csv"], "kind"] == 3 and order[name["y/sales.csv"], "kind"] == 0
+    bare = {r.path: r.lines for r in files.without_rows(rows, "dataset").collect()}
+    assert bare == {name["empty.csv"]: 0, name["blank.csv"]: 0, name["header.csv"]: 0, name["z/a b+c[1].csv"]: 1}
+    with pytest.raises(Exception, match="more fields"):
+        files.rows("dataset").collect()
+    with pytest.raises(ValueError, match="different headers"):
+        files.rows()
+    with pytest.raises(ValueError, match="called kind"):
+        files.rows("kind")
+    done = prepare(rows, ["dataset"], files.datasets("dataset"), files.columns("dataset"))
+    status = {r.dataset: (r.status, r.reason) for r in done.status.collect()}
+    assert {k for k, (s, _) in status.items() if s == "success"} == {name["x/sales.csv"], name["y/sales.csv"]}
+    assert len(status) == 6 and status[name["empty.csv"]] == status[name["header.csv"]]
+    roles = {r.dataset: r for r in done.schema.collect()}
+    assert (roles[name["x/sales.csv"]].revenue_col, roles[name["y/sales.csv"]].revenue_col) == ("revenue", "net revenue")
+    # Region and kind score alike: the first of each file wins.
+    assert [roles[name[f"{d}/sales.csv"]].category_col for d in "xy"] == ["region", "kind"]
+
+
 def test_no_rows_and_no_roles_fail_quietly(spark):
     raw = frame(spark, TRUST, TRUST_COLUMNS)
     empty = prepare(raw.where("false")).status.first()
