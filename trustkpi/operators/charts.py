@@ -66,9 +66,9 @@ def ranked_chart(
 ) -> DataFrame:
     """Top values of a dimension by summed ``y_field``; a NULL value counts as a group."""
     if kind not in ("bar", "pie"):
-        raise ValueError(f"Unsupported chart type: {kind}")
+        raise ValueError(f"no such chart type: {kind}")
     if field not in df.columns:
-        raise ValueError("Requested chart dimension is not available on the cleaned dataframe.")
+        raise ValueError(f"the rows have no column {field} to group by")
     sums = (
         required_rows(df)
         .groupBy(*cols(keys), F.col(f"`{field}`").alias("_label"))
@@ -96,11 +96,13 @@ def chart(
     keys: Keys = (),
 ) -> DataFrame:
     kind = chart_type.lower()
+    if y_field not in df.columns:
+        raise ValueError(f"the rows have no column {y_field} to add up")
     if kind == "line":
         return line_chart(df, y_field, keys)
     field = x_field or color_field
     if not field:
-        raise ValueError("Requested chart dimension is not available on the cleaned dataframe.")
+        raise ValueError(f"a {kind} chart needs x_field or color_field")
     return ranked_chart(df, field, kind, y_field, keys)
 
 

@@ -16,7 +16,7 @@ from trustkpi.operators.ranking import exact_median
 def require_columns(df: DataFrame, *names: str) -> None:
     missing = sorted(set(names) - set(df.columns))
     if missing:
-        raise ValueError(f"Clean dataframe is missing required columns: {missing}")
+        raise ValueError(f"the rows lack the columns {', '.join(missing)}")
 
 
 def required_rows(df: DataFrame) -> DataFrame:

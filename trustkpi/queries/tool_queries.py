@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trustkpi import fixed
 from trustkpi.operators import evals, requests
 from trustkpi.operators import toolcalls as tc
+from trustkpi.plans.dispatch import dispatch
 from trustkpi.queries import inputs as src
 from trustkpi.queries.fact_queries import lit
 from trustkpi.session import stage
@@ -412,6 +413,60 @@ SELECT event_id, CASE WHEN NOT bad THEN 'r' || event_id END AS request_id, CASE
     ELSE 'Method not found: ' || method END AS message FROM s"""
 
 
+# Calls with arguments: periods and charts that exist, and one of each that does not.
+_CALL = (
+    "CASE event_id % 4 WHEN 0 THEN '{\"period\":' || CASE event_id % 3 WHEN 0 THEN '\"ME\"' WHEN 1 THEN 'null' ELSE '\"fortnight\"' END || '}' "
+    "WHEN 1 THEN CASE event_id % 3 WHEN 0 THEN '{\"chart_type\":\"bar\",\"x_field\":\"category\"}' WHEN 1 THEN '{\"chart_type\":\"line\"}' "
+    "ELSE '{\"chart_type\":\"bar\",\"x_field\":\"planet\"}' END "
+    "WHEN 2 THEN '{\"max_charts\":' || CASE event_id % 3 WHEN 0 THEN '2' WHEN 1 THEN '1' ELSE '\"many\"' END || ',\"k\":' || event_id || '}' "
+    "ELSE '{}' END"
+)
+_ANSWER = (
+    "total_revenue double, period_count bigint, data_points array<struct<x:string,y:double>>, "
+    "charts array<struct<id:string,data_points array<struct<x:string,y:double>>>>, recommendations array<struct<chart_type:string,x_field:string>>"
+)
+
+
+def request_results(spark, folder):
+    """Requests of ten datasets of orders, two of them unknown, run and read back."""
+    rows = src.table(spark, folder, "events").selectExpr(
+        "event_id", "user_id % 12 AS dataset_id",
+        f"'{{\"jsonrpc\":\"2.0\",\"id\":\"r' || event_id || '\",\"method\":\"tools/call\",\"params\":{{\"name\":\"' || {_TOOL} "
+        f"|| '\",\"arguments\":' || {_CALL} || '}}}}' AS payload",
+    )
+    canonical = src.sales(spark, folder).withColumn("dataset_id", F.col("id") % 10)
+    known_sets = canonical.select("dataset_id")
+    done = dispatch(requests.classify(rows, known_sets), canonical)
+    a = F.col("a")
+    charts = F.coalesce(a["charts"], F.when(a["data_points"].isNotNull(), F.array(F.struct(F.lit("").alias("id"), a["data_points"].alias("data_points")))))
+    points = F.flatten(F.transform(charts, lambda c: c["data_points"]))
+    told = F.aggregate(points, F.lit(0.0), lambda x, p: x + p["y"])
+    return done.withColumn("a", F.from_json("result", _ANSWER)).select(
+        "event_id", "dataset_id", "tool", "is_error", "code",
+        F.when(F.col("outcome") == "dispatch", F.col("message").isNotNull()).alias("refused"),
+        F.round(F.coalesce(a["total_revenue"], told), 2).alias("total"),
+        F.coalesce(a["period_count"], F.size(points).cast("bigint")).alias("points"),
+        F.array_join(F.transform(a["recommendations"], lambda r: F.concat(r["chart_type"], F.lit(":"), r["x_field"])), "|").alias("recommended"),
+    )
+
+
+REQUEST_RESULTS_SQL = f"""WITH sales AS ({src.SALES_SQL}),
+r AS (SELECT event_id, user_id % 12 AS dataset_id, {_TOOL} AS tool, event_id % 4 AS t, event_id % 3 AS a FROM events),
+o AS (SELECT id % 10 AS ds, cast(d AS date) AS day, v, category FROM sales WHERE d IS NOT NULL AND v IS NOT NULL),
+whole AS (SELECT ds, sum(v) AS total, date_diff('day', min(day), max(day)) + 1 AS days,
+  date_diff('month', min(day), max(day)) + 1 AS months, count(DISTINCT category) AS kinds FROM o GROUP BY ds),
+bars AS (SELECT ds, sum(y) AS total, count(*) AS n FROM (SELECT ds, category, sum(v) AS y,
+  row_number() OVER (PARTITION BY ds ORDER BY sum(v) DESC, category NULLS LAST) AS rn FROM o GROUP BY ds, category) WHERE rn <= 10 GROUP BY ds),
+j AS (SELECT r.*, w.total, w.days, w.months, w.kinds >= 2 AS varied, b.total AS bar_total, b.n AS bar_n,
+  w.ds IS NULL AS unknown, w.ds IS NOT NULL AND t < 3 AS going FROM r LEFT JOIN whole w ON w.ds = dataset_id LEFT JOIN bars b ON b.ds = dataset_id)
+SELECT event_id, dataset_id, tool, NOT going OR a = 2 AS is_error, CASE WHEN unknown THEN -32000 END AS code,
+  CASE WHEN going THEN a = 2 END AS refused,
+  round(CASE WHEN NOT going OR a = 2 THEN NULL WHEN t = 1 AND a = 0 THEN bar_total WHEN t = 2 AND a = 0 AND varied THEN total + bar_total ELSE total END, 2) AS total,
+  CASE WHEN NOT going OR a = 2 THEN NULL WHEN t = 0 AND a = 0 THEN months WHEN t = 1 AND a = 0 THEN bar_n
+    WHEN t = 2 AND a = 0 AND varied THEN days + bar_n ELSE days END AS points,
+  CASE WHEN going AND a < 2 AND t = 2 THEN CASE WHEN a = 0 AND varied THEN 'line:date|bar:category' ELSE 'line:date' END END AS recommended FROM j"""
+
+
 def log(spark, folder):
     calls = src.table(spark, folder, "events").selectExpr(
         "user_id AS report_id", "event_id AS seq", _TOOL + " AS tool", "props AS arguments",
@@ -448,5 +503,6 @@ QUERIES = {
     "eval_metrics": (eval_metrics, EVAL_SQL),
     "eval_running": (running, RUNNING_SQL),
     "request_status": (request_status, REQUEST_SQL),
+    "request_results": (request_results, REQUEST_RESULTS_SQL),
     "tool_log": (log, LOG_SQL),
 }
