@@ -80,7 +80,7 @@ def test_first_sentences(spark):
     assert got == [["One.", "Two!"], [], [], ["v1.2 is out.", "Ok"]]
 
 
-@pytest.mark.parametrize("bad", ["", "X", "2W", "0D", "W-XXX", "3ME"])
+@pytest.mark.parametrize("bad", ["", "X", "2X", "0D", "W-XXX", "ME-OCT", "QE-XXX", "B-MON"])
 def test_unknown_period(bad):
     with pytest.raises(ValueError):
         period(bad)

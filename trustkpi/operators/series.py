@@ -32,31 +32,35 @@ def bucket(
     if not p.rebins:
         return fine
     first = fine.groupBy(*cols(keys)).agg(p.origin(F.min("_ix")).alias("_origin"))
-    start = F.col("_origin") + F.floor((F.col("_ix") - F.col("_origin")) / p.multiple) * p.multiple
     return (
         attach(fine, first, keys)
-        .groupBy(*cols(keys), start.cast("bigint").alias("_ix"))
+        .groupBy(*cols(keys), p.bin(F.col("_ix"), F.col("_origin")).alias("_ix"))
         .agg(F.sum("revenue").alias("revenue"), F.sum("rows").alias("rows"))
     )
 
 
-def fill_gaps(buckets: DataFrame, p: Period, keys: Keys = ()) -> DataFrame:
-    """Add a zero row for every empty period between a key's first and last."""
+def spine(buckets: DataFrame, p: Period, keys: Keys = ()) -> DataFrame:
+    """(keys, _ix): every period between a key's first and last one.
+
+    Blocks of periods are dealt to all tasks before they are opened, so one very long series is as
+    much work for each task as many short ones. The number of tasks is given because the
+    planner would see only the few bytes of the blocks.
+    """
     step = p.multiple
     bounds = buckets.groupBy(*cols(keys)).agg(F.min("_ix").alias("_lo"), F.max("_ix").alias("_hi"))
-    # Two explodes: blocks first, periods inside a block second.
+    tasks = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = bounds.select(
         *cols(keys), "_hi", F.explode(F.sequence("_lo", "_hi", F.lit(BLOCK * step))).alias("_b")
-    )
+    ).repartition(tasks, *cols(keys), "_b")
     last = F.least(F.col("_b") + (BLOCK - 1) * step, F.col("_hi"))
-    spine = blocks.select(
-        *cols(keys),
-        F.explode(F.sequence(F.col("_b"), last, F.lit(step))).alias("_ix"),
-        F.lit(0.0).alias("revenue"),
-        F.lit(0).cast("bigint").alias("rows"),
-    )
+    return blocks.select(*cols(keys), F.explode(F.sequence(F.col("_b"), last, F.lit(step))).alias("_ix"))
+
+
+def fill_gaps(buckets: DataFrame, p: Period, keys: Keys = ()) -> DataFrame:
+    """Add a zero row for every empty period between a key's first and last."""
+    empty = spine(buckets, p, keys).select("*", F.lit(0.0).alias("revenue"), F.lit(0).cast("bigint").alias("rows"))
     return (
-        buckets.unionByName(spine)
+        buckets.unionByName(empty)
         .groupBy(*cols(keys), "_ix")
         .agg(F.sum("revenue").alias("revenue"), F.sum("rows").alias("rows"))
     )
@@ -72,13 +76,13 @@ def period_series(
 
 
 def rolling(dense: DataFrame, p: Period, keys: Keys, width: int) -> DataFrame:
-    """Trailing mean, deviation and count over ``width`` periods.
+    """Trailing mean, deviation and count over ``width`` periods, and the period before as ``previous``.
 
     Window partitions are blocks of the series; each block also receives the
-    last ``width - 1`` rows of the one before, so results equal one long window.
+    last rows of the one before that they need, so results equal one long window.
     """
     size = max(BLOCK, width) * p.multiple
-    reach = (width - 1) * p.multiple
+    reach = max(width - 1, 1) * p.multiple
     home = F.floor(F.col("_ix") / size)
     shared = dense.withColumn(
         "_blk", F.explode(F.array_distinct(F.array(home, F.floor((F.col("_ix") + reach) / size))))
@@ -90,6 +94,7 @@ def rolling(dense: DataFrame, p: Period, keys: Keys, width: int) -> DataFrame:
             F.avg("revenue").over(trail).alias("roll_mean"),
             F.stddev_pop("revenue").over(trail).alias("roll_std"),
             F.count("revenue").over(trail).alias("roll_n"),
+            F.lag("revenue").over(Window.partitionBy(*cols(keys), "_blk").orderBy("_ix")).alias("previous"),
         )
         .where(F.col("_blk") == home)
         .drop("_blk")
@@ -103,7 +108,7 @@ def score(
     threshold: float = fixed.ANOMALY_THRESHOLD,
     width: int = fixed.ROLLING_WINDOW,
 ) -> DataFrame:
-    """Add ``z_score``, ``rolling_dev``, ``is_anomaly`` and the series' last index.
+    """Add ``z_score``, ``rolling_dev``, ``is_anomaly``, ``previous`` and the series' last index.
 
     A series of fewer than three periods, or without variation, has no
     anomalies and NULL scores.

@@ -175,12 +175,31 @@ PERIODS = {
         "+ cast(floor((cast(d AS date) - min(cast(d AS date)) OVER (PARTITION BY k)) / 7) * 7 AS integer)",
         "INTERVAL 7 DAY", "cast(b AS date)",
     ),
+    "2W": (
+        "cast(min(date_trunc('week', d)) OVER (PARTITION BY k) AS date) + cast(ceil((cast(date_trunc('week', d) AS date) "
+        "- cast(min(date_trunc('week', d)) OVER (PARTITION BY k) AS date)) / 14.0) * 14 AS integer)",
+        "INTERVAL 14 DAY", "cast(b AS date) + 6",
+    ),
+    "2ME": (
+        "cast(min(date_trunc('month', d)) OVER (PARTITION BY k) + to_months(cast(ceil(date_diff('month', "
+        "min(date_trunc('month', d)) OVER (PARTITION BY k), date_trunc('month', d)) / 2.0) * 2 AS integer)) AS date)",
+        "INTERVAL 2 MONTH", "last_day(cast(b AS date))",
+    ),
+    "QE-OCT": (
+        "cast(date_trunc('quarter', d + INTERVAL 2 MONTH) - INTERVAL 2 MONTH AS date)", "INTERVAL 3 MONTH",
+        "last_day(cast(cast(b AS date) + INTERVAL 2 MONTH AS date))",
+    ),
+    "YE-JUN": (
+        "cast(date_trunc('year', d + INTERVAL 6 MONTH) - INTERVAL 6 MONTH AS date)", "INTERVAL 1 YEAR",
+        "last_day(cast(cast(b AS date) + INTERVAL 11 MONTH AS date))",
+    ),
+    "B": ("cast(d AS date) - cast(greatest(isodow(d) - 5, 0) AS integer)", "INTERVAL 1 DAY", "cast(b AS date)", "isodow(b) < 6"),
 }
 
 
 def series_sql(source: str, freq: str = "D", threshold: float = 1.5) -> str:
     """CTEs ``dense`` and ``scored`` over rows (k, d, v)."""
-    base, step, label = PERIODS[freq]
+    base, step, label, *only = PERIODS[freq]
     trail = "OVER (PARTITION BY k ORDER BY b ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
     return f"""
 src AS ({source}),
@@ -189,7 +208,7 @@ agg AS (SELECT k, b, sum(v) AS revenue, count(*) AS n FROM based GROUP BY k, b),
 spine AS (SELECT k, unnest(generate_series(lo, hi, {step})) AS b
           FROM (SELECT k, min(b) AS lo, max(b) AS hi FROM agg GROUP BY k)),
 dense AS (SELECT s.k, s.b, coalesce(a.revenue, 0) AS revenue, coalesce(a.n, 0) AS n
-          FROM spine s LEFT JOIN agg a ON s.k = a.k AND s.b = a.b),
+          FROM (SELECT * FROM spine{f" WHERE {only[0]}" if only else ""}) s LEFT JOIN agg a ON s.k = a.k AND s.b = a.b),
 windowed AS (SELECT k, b, {label} AS period, revenue, n,
     avg(revenue) OVER (PARTITION BY k) AS m, stddev_pop(revenue) OVER (PARTITION BY k) AS sd,
     count(*) OVER (PARTITION BY k) AS np, avg(revenue) {trail} AS rm, stddev_pop(revenue) {trail} AS rs,

@@ -40,15 +40,9 @@ def _series_sql(freq, source=ALL_ORDERS_SQL):
 def flagship(spark, folder):
     """Monthly orders: dense series, growth against the month before, z-score, anomaly flag."""
     scored = series.scored_series(src.orders(spark, folder), "ME", SEG)
-    previous = scored.select(
-        F.col("segment").alias("_s"), (F.col("_ix") + 1).alias("_next"), F.col("revenue").alias("_prev")
-    )
-    joined = scored.join(
-        previous, scored["segment"].eqNullSafe(F.col("_s")) & (F.col("_ix") == F.col("_next")), "left"
-    )
-    return joined.select(
+    return scored.select(
         "segment", "period", F.round("revenue", 2).alias("revenue"), "rows",
-        F.round(kpi.growth(F.col("revenue"), F.col("_prev")), 2).alias("growth_rate"),
+        F.round(kpi.growth(F.col("revenue"), F.col("previous")), 2).alias("growth_rate"),
         F.round("z_score", 4).alias("z_score"), F.round("rolling_dev", 4).alias("rolling_dev"), "is_anomaly",
     )
 
@@ -222,6 +216,11 @@ QUERIES = {
     "series_quarterly": (_series("QE"), _series_sql("QE")),
     "series_yearly": (_series("YE"), _series_sql("YE")),
     "series_seven_day": (_series("7D"), _series_sql("7D")),
+    "series_two_weeks": (_series("2W"), _series_sql("2W")),
+    "series_two_months": (_series("2ME"), _series_sql("2ME")),
+    "series_quarter_october": (_series("QE-OCT"), _series_sql("QE-OCT")),
+    "series_year_june": (_series("YE-JUN"), _series_sql("YE-JUN")),
+    "series_workdays": (_series("B"), _series_sql("B")),
     "series_hourly": (
         lambda spark, folder: _series("h", _events)(spark, folder).withColumn("period", F.col("period").cast("string")),
         f"SELECT * REPLACE (cast(period AS varchar) AS period) FROM ({_series_sql('h', ALL_EVENTS_SQL)})",
