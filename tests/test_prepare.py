@@ -160,24 +160,40 @@ def test_contexts(analysis):
 
 
 def test_store_round_trip(spark, analysis, tmp_path):
-    rows = report_rows(analysis, ["ds"])
-    saved = store.report_envelope(store.with_report_ids(rows, ["ds"]), "app", "prompt")
-    assert saved.select("report_id").collect() == saved.select("report_id").collect()
-    reports, records = str(tmp_path / "reports"), str(tmp_path / "records")
-    store.save_reports(saved, reports)
-    ids = {r.ds: r.report_id for r in spark.read.json(reports).select("ds", "report_id").collect()}
-    tagged = analysis.prepared.canonical.withColumn(
-        "report_id", F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])[F.col("ds")]
-    )
-    store.save_records(tagged, records)
-    one = store.load_report(spark, reports, f" {ids['watchlist'].upper()} ").first()
+    rows = store.with_report_ids(report_rows(analysis, ["ds"]), ["ds"])
+    envelope = store.report_envelope(rows, "app", "prompt")
+    assert envelope.select("report_id").collect() == envelope.select("report_id").collect()
+    path = str(tmp_path / "store")
+    canonical = analysis.prepared.canonical.withColumns({"nothing": F.lit(None), "empty": F.lit(None).cast("string")})
+    ids = {r.ds: r.report_id for r in store.save(envelope, path, canonical, ["ds"]).collect()}
+    one = store.load_report(spark, path, f" {ids['watchlist'].upper()} ").first()
     assert one.total_revenue == 62500.0 and one.anomalies.z_scores["2024-05-12"] == 2.938
     assert one.share_url == f"/?report={ids['watchlist']}" and one.data_storage.raw_csv_stored is False
-    back = store.load_records(spark, records, ids["watchlist"])
+    back = store.load_records(spark, path, ids["watchlist"])
     assert back.agg(F.sum("revenue")).first()[0] == 62500.0 and dict(back.dtypes)["date"] == "timestamp"
+    assert {"nothing", "empty"} <= set(back.columns) and back.where("empty IS NOT NULL OR nothing IS NOT NULL").count() == 0
+    store.save(envelope.withColumn("title", F.lit("second")).where("ds = 'watchlist'"), path, canonical.limit(3), ["ds"])
+    assert store.load_report(spark, path, ids["watchlist"]).first().title == "second"
+    assert {r.report_id for r in store.load_reports(spark, path).collect()} == set(ids.values())
     for bad in ("../x", "ffffffffffff"):
         with pytest.raises(FileNotFoundError):
-            store.load_report(spark, reports, bad)
+            store.load_report(spark, path, bad)
+
+
+def test_store_of_many_reports(spark, tmp_path):
+    path = str(tmp_path / "store")
+    reports = spark.range(100_000).select("id", (F.col("id") * 2.0).alias("total_revenue"), F.lit(None).cast("double").alias("growth_rate"))
+    records = spark.range(200_000).select((F.col("id") % 100_000).alias("id"), F.lit("2024-01-02").alias("date"), F.col("id").alias("revenue"), F.lit(None).cast("string").alias("region"))
+    ids = store.save(reports, path, records, ["id"])
+    assert ids.count() == 100_000 and ids.select("report_id").distinct().count() == 100_000
+    some = ids.where("id IN (7, 99999)").orderBy("id").collect()
+    for r in some:
+        assert store.load_report(spark, path, r.report_id).collect() == [(r.id, 2.0 * r.id, None, r.report_id)]
+        back = store.load_records(spark, path, r.report_id).orderBy("revenue").collect()
+        assert [(b.revenue, b.region) for b in back] == [(float(r.id), None), (100_000.0 + r.id, None)]
+    assert sum(1 for _ in (tmp_path / "store").rglob("*.parquet")) < 3 * 256 * 3
+    whole = store.load_reports(spark, path)
+    assert (whole.count(), whole.agg(F.sum("total_revenue")).first()[0]) == (100_000, 99_999 * 100_000.0)
 
 
 def test_csv_scan(spark, tmp_path):

@@ -132,3 +132,17 @@ def test_requests(spark):
         5: ("dispatch", None), 6: ("error", -32601), 7: ("error", -32600),
     }
     assert {r.code for r in requests.classify(rows).where("n = 5").collect()} == {-32000}
+
+
+@pytest.mark.parametrize("arguments,kept", [
+    ('{"b": 1, "a": {"y": [1, 2.50], "x": null}}', '{"b":1,"a":{"y":[1,2.5],"x":null}}'), ('{"k": 1, "z": 0, "k": "é\\u00e9/\\/"}', '{"k":"\\u00e9\\u00e9//","z":0}'),
+    ('{"big": 123456789012345678901234567890, "e": 1E2}', '{"big":123456789012345678901234567890,"e":100.0}'), ("k: 1", "{}"), (None, "{}"), ("", "{}"),
+    ('"😀"', '"\\ud83d\\ude00"'), ("[" * 100_000, "{}"),
+])
+def test_arguments_keep_order_and_signs(spark, arguments, kept):
+    rows = spark.createDataFrame(
+        [(1, [("hi", "user", None), (None, "assistant", [("function", ("naïve", arguments))])], "[]")],
+        "id int, messages array<struct<content:string,role:string,tool_calls:array<struct<type:string,function:struct<name:string,arguments:string>>>>>, tools string",
+    )
+    got = tc.convert_public(rows).first().messages[2].content
+    assert got == '{"tool_calls":[{"method":"tools/call","params":{"name":"na\\u00efve","arguments":' + kept + "}}]}"

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trustkpi import fixed
 from trustkpi.functions import draws
@@ -305,6 +309,25 @@ def chat_rows(examples: DataFrame) -> DataFrame:
     )
 
 
+def compact_calls(calls: list[dict]) -> str:
+    """Calls as JSON without blanks: arguments keep their order, the last of repeated names counts, signs beyond
+    ASCII are escaped; unreadable arguments become ``{}``."""
+    listed = []
+    for one in calls:
+        try:
+            arguments = json.loads(one["arguments"])
+        except (TypeError, ValueError, RecursionError):
+            arguments = {}
+        listed.append({"method": fixed.TOOL_METHOD, "params": {"name": one["name"], "arguments": arguments}})
+    return json.dumps({"tool_calls": listed}, separators=(",", ":"))
+
+
+@F.pandas_udf(T.StringType())
+def _compact_calls(calls: pd.Series) -> pd.Series:
+    # No built-in function keeps order and repeated names of JSON: Arrow batches, one text per row.
+    return calls.map(lambda listed: None if listed is None else compact_calls(list(listed)))
+
+
 def convert_public(rows: DataFrame) -> DataFrame:
     """Rows of a public function-calling table as chat rows.
 
@@ -329,16 +352,8 @@ def convert_public(rows: DataFrame) -> DataFrame:
         F.coalesce(F.col("_user.content"), F.lit("None")),
     )
 
-    def call(c: Column) -> Column:
-        arguments = F.coalesce(F.to_json(F.try_parse_json(c["function"]["arguments"])), F.lit("{}"))
-        name = F.to_json(F.struct(c["function"]["name"].alias("name")), {"ignoreNullFields": "false"})
-        opened = F.substring(name, F.lit(1), F.length(name) - 1)
-        return F.concat(
-            F.lit(f'{{"method":"{fixed.TOOL_METHOD}","params":'), opened, F.lit(',"arguments":'), arguments, F.lit("}}")
-        )
-
     calls = F.col("_assistant.tool_calls")
-    body = F.concat(F.lit('{"tool_calls":['), F.array_join(F.transform(calls, call), ","), F.lit("]}"))
+    body = _compact_calls(F.transform(calls, lambda c: F.struct(c["function"]["name"].alias("name"), c["function"]["arguments"].alias("arguments"))))
     assistant = F.when(F.coalesce(F.size(calls), F.lit(0)) > 0, body).otherwise(fixed.PUBLIC_NO_TOOL_ANSWER)
     extra = [c for c in ("id",) if c in rows.columns]
     return parsed.select(

@@ -1,4 +1,10 @@
-"""Stored reports and their records, partitioned by report id."""
+"""Stored reports and their records.
+
+Each save is a batch of Parquet files, dealt to folders by the first digits of the report id and sorted
+by id inside: ``reports/batch=…/bucket=…``, ``records/batch=…/bucket=…``. The files carry the batch's schema, so a
+column without any value stays. ``index/bucket=…`` tells the batch of each id and is written last: a report
+is found once it and its records are complete. A later save of an id replaces the earlier one.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +14,20 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trustkpi import fixed
 from trustkpi.functions.dates import parse_date
 from trustkpi.functions.numbers import parse_number
 from trustkpi.functions.text import normalize_label
-from trustkpi.operators.keyed import Keys, cols
+from trustkpi.operators.keyed import Keys, attach, cols
+from trustkpi.session import stage
 from trustkpi.sources.csvs import with_text_dates
 
 REPORT_ID = "report_id"
+# Folder of a report: the first digits of its id, 256 folders to a batch.
+BUCKET, BUCKET_DIGITS = "bucket", 2
+_INDEX = f"{REPORT_ID} string, batch string, saved timestamp, {BUCKET} string"
 REPORT_TYPE = (
     "report_id string, app_name string, prompt string, share_url string, saved_at string, "
     "data_storage struct<mode:string,raw_csv_stored:boolean>, status string, reason string, "
@@ -64,18 +75,37 @@ def report_envelope(reports: DataFrame, app_name: str, prompt: str) -> DataFrame
     )
 
 
+def _bucket(report_id: Column) -> Column:
+    return F.substring(report_id, 1, BUCKET_DIGITS)
+
+
 def _write(df: DataFrame, path: str) -> None:
-    # REBALANCE groups rows by id and lets adaptive execution split a hot one.
-    df.hint("rebalance", REPORT_ID).write.mode("append").partitionBy(REPORT_ID).json(path)
+    # REBALANCE groups rows by folder and lets adaptive execution split a hot one.
+    placed = df.withColumn(BUCKET, _bucket(F.col(REPORT_ID))).hint("rebalance", BUCKET)
+    placed.sortWithinPartitions(BUCKET, REPORT_ID).write.mode("append").partitionBy(BUCKET).parquet(path)
 
 
-def save_reports(reports: DataFrame, path: str) -> None:
-    _write(reports, path)
+def _writable(df: DataFrame) -> DataFrame:
+    """Dates as text, columns of no type as text."""
+    void = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
+    return with_text_dates(df.withColumns({c: F.col(f"`{c}`").cast("string") for c in void}))
 
 
-def save_records(records: DataFrame, path: str) -> None:
-    """Records as JSON lines; dates as text, missing values left out."""
-    _write(with_text_dates(records), path)
+def save(reports: DataFrame, path: str, records: DataFrame | None = None, keys: Keys = ()) -> DataFrame:
+    """Store reports, one per dataset, with their records; returns (keys, report_id).
+
+    Both get one id per dataset: the report's own if it has a valid one, else a fresh one. Records are
+    matched by ``keys``; those of a dataset without a report are not stored.
+    """
+    batch = uuid.uuid4().hex
+    tagged = stage(with_report_ids(reports, keys), "reports")
+    ids = tagged.select(*cols(keys), REPORT_ID)
+    _write(_writable(tagged), f"{path}/reports/batch={batch}")
+    if records is not None:
+        rows = attach(records.drop(REPORT_ID), ids, keys)
+        _write(_writable(rows.where(F.col(REPORT_ID).isNotNull())), f"{path}/records/batch={batch}")
+    _write(ids.select(REPORT_ID, F.lit(batch).alias("batch"), F.current_timestamp().alias("saved")), f"{path}/index")
+    return ids
 
 
 def _one_id(report_id: str) -> str:
@@ -85,25 +115,35 @@ def _one_id(report_id: str) -> str:
     return cleaned
 
 
-def _one_folder(path: str, report_id: str) -> str:
-    return f"{path.rstrip('/')}/{REPORT_ID}={_one_id(report_id)}"
-
-
-def load_report(spark: SparkSession, path: str, report_id: str, schema: str = REPORT_TYPE) -> DataFrame:
-    """Stored report row; only that report's folder is listed and read."""
+def _rows_of(spark: SparkSession, path: str, kind: str, report_id: str) -> DataFrame:
+    """Rows of one report: one folder of the index and one of its batch are listed, the id is pushed to the scan."""
+    wanted = _one_id(report_id)
+    folder = f"{BUCKET}={wanted[:BUCKET_DIGITS]}"
     try:
-        return spark.read.schema(schema).option("basePath", path).json(_one_folder(path, report_id))
+        index = spark.read.schema(_INDEX).option("basePath", f"{path}/index").parquet(f"{path}/index/{folder}")
+        found = index.where(F.col(REPORT_ID) == wanted).agg(F.max_by("batch", "saved").alias("batch")).first()
+        if found.batch is None:
+            raise FileNotFoundError(report_id)
+        return spark.read.parquet(f"{path}/{kind}/batch={found.batch}/{folder}").where(F.col(REPORT_ID) == wanted)
     except AnalysisException as exc:
         raise FileNotFoundError(report_id) from exc
 
 
+def load_report(spark: SparkSession, path: str, report_id: str) -> DataFrame:
+    """One stored report row, with the columns it was saved with."""
+    return _rows_of(spark, path, "reports", report_id)
+
+
 def load_records(spark: SparkSession, path: str, report_id: str) -> DataFrame:
     """Typed records of one stored report."""
-    try:
-        rows = spark.read.json(_one_folder(path, report_id))
-    except AnalysisException as exc:
-        raise FileNotFoundError(report_id) from exc
-    return restore_types(rows.withColumn(REPORT_ID, F.lit(_one_id(report_id))))
+    return restore_types(_rows_of(spark, path, "records", report_id))
+
+
+def load_reports(spark: SparkSession, path: str, schema: str = REPORT_TYPE) -> DataFrame:
+    """All reports in their latest form, for joins with tables of questions; columns a batch lacks are NULL."""
+    rows = spark.read.schema(f"{schema}, batch string, {BUCKET} string").parquet(f"{path}/reports")
+    latest = spark.read.schema(_INDEX).parquet(f"{path}/index").groupBy(REPORT_ID).agg(F.max_by("batch", "saved").alias("batch"))
+    return rows.join(latest, [REPORT_ID, "batch"]).drop("batch", BUCKET)
 
 
 def read_record_files(spark: SparkSession, path: str) -> DataFrame:
