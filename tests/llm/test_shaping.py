@@ -7,7 +7,7 @@ from hashlib import sha256
 import pytest
 from pyspark.sql import functions as F
 
-from trustkpi.llm import chat, html_text, mixing, sharding
+from trustkpi.llm import chat, html_text, mixing, secret_scan, sharding
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -63,13 +63,17 @@ def brute_mix(rows, targets):
             got[c] = left * children[c][1] // total if total else 0
         return got
 
+    def reached(leaf, depth):
+        """Whether tokens that arrive at the node of this depth can go on to the leaf."""
+        return all(getattr(targets, mixing.LEVELS[d]).get(leaf[d], targets.other) for d in range(depth, 3))
+
     def walk(prefix, budget, out):
         if len(prefix) == 3:
             out[prefix] = budget
             return
         weights = getattr(targets, mixing.LEVELS[len(prefix)])
         kids = sorted({leaf[: len(prefix) + 1] for leaf in caps if leaf[: len(prefix)] == prefix})
-        children = {k: (sum(c for leaf, c in caps.items() if leaf[: len(k)] == k), weights.get(k[-1], targets.other)) for k in kids}
+        children = {k: (sum(c for leaf, c in caps.items() if leaf[: len(k)] == k and reached(leaf, len(k))), weights.get(k[-1], targets.other)) for k in kids}
         for k, b in share(children, budget).items():
             walk(k, b, out)
 
@@ -95,11 +99,11 @@ def brute_mix(rows, targets):
     return Counter(out)
 
 
-@pytest.mark.parametrize("tokens", [None, 900, 100000])
-def test_mix_matches_brute_force(frame, tokens):
+@pytest.mark.parametrize("tokens,zero", [(None, 0), (900, 1), (1800, 0), (100000, 0)])
+def test_mix_matches_brute_force(frame, tokens, zero):
     raw = [(i, "w " * (i % 13), ["en", "de", None][i % 3], f"s{i % 7}") for i in range(260)]
     raw += [(3, "a b c", "en", "s3")] * 2 + [(None, "x y", "en", "s1"), (900, None, "fr", "s9"), (901, "long " * 5000, "en", "s0")]
-    targets = mixing.Targets(domain={"s0": 5, "s1": 0}, lang={"en": 3}, source={"s3": 2}, tokens=tokens)
+    targets = mixing.Targets(domain={"s0": 5, "s1": 0}, lang={"en": 3, "de": zero}, source={"s3": 2, "s5": zero}, tokens=tokens)
     docs = frame([(*r, 0) for r in raw], "doc_id bigint, text string, lang string, source string, epoch int")
     got = mixing.mix(docs, targets, F.expr("CASE WHEN source IN ('s0', 's1') THEN source ELSE 'rest' END")).collect()
     rows = [(i, s if s in ("s0", "s1") else "rest", lang or "", s, len((t or "").split())) for i, t, lang, s in raw]
@@ -107,6 +111,28 @@ def test_mix_matches_brute_force(frame, tokens):
     assert have == brute_mix(rows, targets)
 
 
+def test_no_budget_is_lost_to_names_without_weight(frame):
+    rows = [(i, "w " * 10, "de" if i < 60 else "en", "s", "left" if i < 100 else "right") for i in range(200)]
+    docs = frame(rows, "doc_id bigint, text string, lang string, source string, side string")
+    targets = mixing.Targets(domain={"left": 1, "right": 1}, lang={"de": 0}, tokens=1000, epochs=1)
+    got = mixing.mix(docs, targets, F.col("side")).groupBy("side").agg(F.sum("n_tokens").alias("n")).collect()
+    assert {r.side: r.n for r in got} == {"left": 400, "right": 600}  # 40 documents of "left" may be taken
+    want = brute_mix([(i, side, lang, s, 10) for i, _, lang, s, side in rows], targets)
+    assert sum(10 * n for n in want.values()) == 1000
+
+
+def test_any_column_name_may_come_along(frame):
+    names = ["whole", "cut", "_domain", "unit", "rest", "place", "budget", "_row", "tokens", "before", "c0"]
+    docs = frame([(1, "a b", "en", "s", *names)], "doc_id bigint, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    got = mixing.mix(docs, mixing.Targets(), F.lit("d")).first()
+    assert [got[n] for n in names] == names and got.epoch == 0
+    scanned = secret_scan.scan(docs.withColumnsRenamed({"whole": "rules", "cut": "_key", "rest": "_text"})).first()
+    assert (scanned["rules"], scanned["_key"], scanned["_text"]) == ("whole", "cut", "rest") and scanned.secrets == []
+    pages = frame([("u", "<p>x</p>", *names)], "url string, html string, " + ", ".join(f"`{n}` string" for n in names))
+    odd = pages.withColumnsRenamed({"whole": "_url", "cut": "_html", "rest": "_gone", "place": "host", "unit": "keys", "tokens": "key"})
+    assert html_text.extract(odd).first().asDict()["_gone"] == "rest"
+
+
 def test_mix_of_an_empty_table(frame):
     docs = frame([], "doc_id bigint, text string, lang string, source string")
     assert mixing.mix(docs, mixing.Targets(), F.lit("d")).count() == 0

@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trustkpi.llm.shared import packed, unpacked, without
+from trustkpi.operators.keyed import attach
 from trustkpi.operators.running import running_total
-from trustkpi.llm.shared import without
 from trustkpi.session import stage
 
 LEVELS = ("domain", "lang", "source")
@@ -79,12 +80,17 @@ def share_out(nodes: DataFrame, parent: list[str], budget: str) -> DataFrame:
 def budgets(leaves: DataFrame, targets: Targets) -> DataFrame:
     """(domain, lang, source, tokens, budget) from leaf token counts."""
     caps = leaves.withColumn("leaf_cap", (F.col("tokens") * targets.epochs).cast("decimal(20,0)"))
-    total = F.lit(targets.tokens) if targets.tokens is not None else F.sum("tokens").over(Window.partitionBy())
-    root = stage(caps.withColumn("root", total.cast("decimal(20,0)")), "leaves")
+    given = F.lit(targets.tokens) if targets.tokens is not None else F.sum("tokens")
+    root = stage(attach(caps, leaves.agg(given.cast("decimal(20,0)").alias("root")), []), "leaves")
     granted = None
     for depth, level in enumerate(LEVELS):
         path = list(LEVELS[: depth + 1])
-        nodes = root.groupBy(*path).agg(F.sum("leaf_cap").cast("decimal(20,0)").alias("cap"), F.max("root").alias("root"))
+        # A leaf below a node without weight gets nothing, so it adds nothing to what the nodes above can take.
+        reached = F.lit(True)
+        for lower in LEVELS[depth + 1 :]:
+            reached = reached & (targets.weight(lower) > 0)
+        cap = F.sum(F.when(reached, F.col("leaf_cap")).otherwise(0)).cast("decimal(20,0)")
+        nodes = root.groupBy(*path).agg(cap.alias("cap"), F.max("root").alias("root"))
         nodes = nodes.withColumn("weight", targets.weight(level))
         if granted is None:
             granted = share_out(nodes, [], "root")
@@ -110,12 +116,15 @@ def mix(docs: DataFrame, targets: Targets, domain: Column, id_col: str = "doc_id
     of a leaf ends before the first place that would exceed the budget. Leaves without
     tokens give no rows. A column that has the name of a new one is replaced.
     """
-    rows = without(docs, "domain", "n_tokens", "epoch", "leaf_budget").withColumn("domain", F.coalesce(domain, F.lit("")))
-    names = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in LEVELS]
+    old = without(docs, "domain", "n_tokens", "epoch", "leaf_budget").columns
     tokens = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("bigint")
+    # The caller's columns travel in one struct, so that none can have the name of another one here.
+    rows = docs.select(
+        packed(old), F.coalesce(domain, F.lit("")).alias("domain"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in LEVELS[1:]],
+        F.col(id_col).alias("unit"), tokens.alias("n_tokens"),
+    )
     units = stage(
-        rows.select(*names, F.col(id_col).alias("unit"), tokens.alias("tokens"))
-        .groupBy(*LEVELS, "unit").agg(F.sum("tokens").alias("tokens")), "units",
+        rows.groupBy(*LEVELS, "unit").agg(F.sum("n_tokens").alias("tokens")), "units",
     )
     leaves = units.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     plan = stage(
@@ -132,12 +141,10 @@ def mix(docs: DataFrame, targets: Targets, domain: Column, id_col: str = "doc_id
     cuts = ranked.where("before + tokens <= rest").groupBy(*LEVELS).agg(F.max("place").alias("cut"))
     plan = stage(plan.join(cuts.hint("merge"), list(LEVELS), "left"), "cuts")
     known = F.broadcast(plan) if few else plan.hint("merge")
-    keyed = known.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "whole", "cut", F.col("budget").alias("leaf_budget"))
-    joined = rows.withColumn("n_tokens", tokens).join(
-        keyed, [F.coalesce(F.col(c), F.lit("")) == F.col(f"_{c}") for c in LEVELS]
-    )
-    last = F.when(epoch_order(targets.seed, F.col("whole"), id_col) <= F.col("cut"), 1).otherwise(0)
+    joined = rows.join(known.select(*LEVELS, "whole", "cut", F.col("budget").alias("leaf_budget")), list(LEVELS))
+    last = F.when(epoch_order(targets.seed, F.col("whole"), "unit") <= F.col("cut"), 1).otherwise(0)
     epochs = F.transform(
         F.filter(F.sequence(F.lit(1), F.lit(targets.epochs + 1)), lambda e: e <= F.col("whole") + last), lambda e: e - 1
     )
-    return joined.withColumn("epoch", F.explode(epochs)).drop("whole", "cut", *[f"_{c}" for c in LEVELS])
+    chosen = joined.withColumn("epoch", F.explode(epochs))
+    return chosen.select(*unpacked(old), F.col("domain").alias("domain"), "n_tokens", "epoch", "leaf_budget")

@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustkpi.llm.shared import row_key, without
+from trustkpi.llm.shared import packed, row_key, unpacked, without
 from trustkpi.session import stage
 
 
@@ -192,8 +192,7 @@ def scan(
     rows = without(docs, "secrets")
     carried = rows.columns if keep is None else keep
     spark = docs.sparkSession
-    rows = rows.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
-                       row_key(id_col, text_col).alias("_key"))
+    rows = rows.select(packed(carried), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), row_key(id_col, text_col).alias("_key"))
     queries = [trigram_query(r) for r in rules]
     trigrams = sorted({g for q in queries for c in q for a in c for g in a})
     if trigrams:
@@ -208,7 +207,7 @@ def scan(
         spans = _spans(F.col("_text"), rule, number)
         asked = F.array_contains("rules", number)
         per_rule.append(F.when(asked, spans).otherwise(empty) if query else spans)
-    return rows.select(*[F.col(f"`{c}`") for c in carried], F.array_sort(F.concat(*per_rule)).alias("secrets"))
+    return rows.select(*unpacked(carried), F.array_sort(F.concat(*per_rule)).alias("secrets"))
 
 
 def span_text(spans: Column, rules: tuple[Rule, ...] = BASE + MORE) -> Column:

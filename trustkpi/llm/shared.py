@@ -26,6 +26,15 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def packed(names: list[str]) -> Column:
+    """The columns ``names`` in one struct ``_row``: whatever they are called, no name can clash."""
+    return F.struct(F.lit(0).alias("_row"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("_row")
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    return [F.col("_row").getField(f"c{i}").alias(c) for i, c in enumerate(names)]
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """64-bit key of a document row: equal rows share it, also rows with a null id."""
     return F.xxhash64(F.col(id_col).cast("string"), F.lit("|"), F.col(text_col))
