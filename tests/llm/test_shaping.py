@@ -197,18 +197,76 @@ def test_main_text(frame):
     assert html_text.extract(frame([], "page_id bigint, url string, html string")).count() == 0
 
 
-@pytest.mark.parametrize("block_keys", [500_000, 3])
-def test_site_templates_go_and_prose_stays(frame, block_keys):
+def test_site_templates_go_and_prose_stays(frame):
     box = "<div><span>Join our club</span></div><div>Call <i>now</i></div><section><div>Top</div></section>"
     rows = [(i, f"https://u@Site.org:80/{i}", f"<body>{box}<p>Own text {i}</p><p>Same line</p></body>") for i in range(30)]
     rows += [(100 + i, "https://art.org/", f"<article><p>Same prose</p><div>Share it</div><p>n{i}</p></article>") for i in range(30)]
     rows += [(200 + i, f"https://h{i}.org/", f"<body>{box}<p>Lone {i}</p></body>") for i in range(3)]
     pages = frame(rows, "page_id bigint, url string, html string")
-    got = {r.page_id: r.text for r in html_text.extract(pages, keep=["page_id"], block_keys=block_keys).collect()}
+    got = {r.page_id: r.text for r in html_text.extract(pages, keep=["page_id"]).collect()}
     assert got[3] == "Own text 3" and got[103] == "Same prose\nn3"
     assert got[201] == "Join our club\nCall now\nTop\nLone 1"
 
 
+@pytest.mark.parametrize("html,text", [
+    ('<article class="post widget"><p>Body text</p></article>', "Body text"),
+    ('<article><div id="search-algorithms"><p>On search.</p></div><h2 id="header">Head</h2></article>', "On search.\nHead"),
+    ('<article><div class="share-links">s</div><div id="comment-list-3"><p>c</p></div><p>x</p><div class="notice">n</div></article>', "x"),
+    ('<div class="site-footer">f</div><div class="page banner-ads">b</div><div class="search">q</div><div class="headers-guide">ok</div>', "ok"),
+    ("<form><article>in a form</article></form><div role=navigation>m</div>", "in a form"),
+])
+def test_names_are_whole_names_of_boxes(html, text):
+    root = html_text.parse(html.encode())
+    html_text.hash_subtrees(root)
+    assert html_text.main_text(root, frozenset()) == text
+
+
+def templated(article):
+    """Hosts whose boxes say other words on every page: menus, an advert, a footer; forty pages, each of them twice."""
+    rows = []
+    for i in list(range(40)) * 2:
+        box = f"<div class='kx-{i % 10}'><a>go {i}</a><a>to {i}</a></div><div class='zz'>Buy {i} now</div>"
+        inner = f"<h1>Head {i}</h1><p>Own text {i}, of some length at least.</p>{box}<p>Same close</p>"
+        page = f"<article>{inner}</article>" if article else f"<div>{inner}</div>"
+        rows.append((i, "http://t.org/", f"<body><ul>{f'<li><a>m {i}</a>' * (3 + i % 4)}</ul>{page}<div class='end'>(c) {i}</div></body>"))
+    return rows
+
+
+@pytest.mark.parametrize("article", [True, False])
+def test_boxes_that_recur_in_form_go(frame, article):
+    pages = frame(templated(article), "page_id bigint, url string, html string")
+    on = {r.page_id: r.text for r in html_text.extract(pages, keep=["page_id"]).collect()}
+    off = {r.page_id: r.text for r in html_text.extract(pages, keep=["page_id"], min_pages=None).collect()}
+    close = "\nSame close" if article else ""  # outside of main content words that recur are template
+    assert all(t == f"Head {i}\nOwn text {i}, of some length at least.{close}" for i, t in on.items()) and len(on) == 40
+    assert all(f"Buy {i} now" in t and "go" in t for i, t in off.items())
+    raw = html_text.extract(pages, keep=["page_id"], lists=False, prefer_article=False).where("page_id = 3").first().text
+    assert raw == on[3]  # counting alone finds it
+
+
+def test_template_counts_match_brute_force(frame):
+    rows = templated(True)[:70] + templated(False)[:6] + [(900 + i, f"http://u{i // 4}.org", f"<div>one</div><div>two {i}</div>") for i in range(9)]
+    pages, on = {}, defaultdict(set)
+    for _, url, html in rows:
+        root = html_text.parse(html.encode())
+        pages.setdefault(html_text.host_of(url), {})[html] = {k for part in html_text.hash_subtrees(root) for k in part}
+    for host, by in pages.items():
+        count = Counter(k for keys in by.values() for k in keys)
+        need = max(10, -(-len(by) * 2 // 100)) if len(by) >= 10 else max(3, len(by))
+        on[host] = {k for k, n in count.items() if n >= need}
+    found = html_text.templates(html_text.page_keys(frame([r[1:] for r in rows], "url string, html string"))).collect()
+    got = defaultdict(set)
+    for r in found:
+        got[r.host].add(r.key & 0xFFFFFFFFFFFFFFFF)
+    assert got == {h: k for h, k in on.items() if k} and {"t.org", "u0.org", "u1.org"} == set(got)
+
+
+def test_pages_of_nothing_but_template_keep_their_text(frame):
+    rows = [(i, "http://x.org", f"<title>{i}</title><p>Not found</p>") for i in range(30)]
+    got = html_text.extract(frame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r.text for r in got} == {"Not found"}
+
+
 def test_elements_in_and_around_article_prose_stay(frame):
     body = "<p><b>Same lead.</b> n{0}</p><table><tr><td>Total</td><td><em>sum</em> {0}</td></tr></table><ul><li><a>Same link</a></ul>"
     rows = [(i, "https://art.org/", f"<article>{body.format(i)}<div><b>Share</b></div></article>") for i in range(30)]

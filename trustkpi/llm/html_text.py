@@ -1,8 +1,12 @@
 """Main text of web pages, with the templates of each site removed.
 
-Every element's subtree is hashed over its tags and text. Spark counts on how many pages
-of a host each hash occurs; subtrees that recur on many pages of their host are template
-and go. So do parts whose tag, role or class says what they are (menus, adverts, forms …).
+Every element's subtree, from the body on, is hashed twice: over its tags and text, and over its tags, classes,
+ids and roles without text, runs of equal children taken as one. Spark counts on how many different pages
+of a host each hash occurs. Subtrees whose text recurs are template, and so are boxes whose form
+recurs: elements that are marked by tag, class, id or role or hold nothing but links, have no paragraphs and less than
+half of the page's text. Templates go before the main content is chosen. Parts whose tag, role or class says
+what they are (menus, adverts, forms …) go too, also where a host has too few pages to count.
+
 Inside an article or main element, paragraphs, headings, lists and tables are never
 template, nor is any element in them or around them: pages may well repeat each other's prose.
 """
@@ -12,25 +16,25 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from trustkpi.llm.shared import arrow_map, binary_values, without
+from trustkpi.llm.shared import arrow_map, attach_dealt, binary_values, packed, unpacked, without
 from trustkpi.session import stage
 
-MIN_PAGES = 10
-MIN_SHARE = 0.02
-# Templates are broadcast in blocks of so many 64-bit keys.
-BLOCK_KEYS = 500_000
+# A template is on MIN_PAGES pages of its host and on MIN_SHARE of them, but never needs more than MOST_PAGES;
+# on a host of fewer pages, SMALL_HOST at least, it is on all of them.
+MIN_PAGES, MIN_SHARE, MOST_PAGES, SMALL_HOST = 10, 0.02, 200, 3
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROP = frozenset(
     "head script style noscript template svg math canvas nav header footer aside form button select textarea "
     "input label fieldset iframe object embed dialog menu audio video map".split()
 )
+_UNSHOWN = frozenset("head title script style noscript template svg math canvas".split())
 _BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table caption thead "
     "tbody tfoot tr figure figcaption address details summary hr center hgroup".split()
@@ -42,37 +46,61 @@ _CLOSERS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-_NAMES = frozenset(
-    "ad ads advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr "
-    "notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination "
-    "header masthead footer comment comments disqus share sharing social related newsletter subscribe signup login "
-    "search toolbar widget".split()
+_TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 dl blockquote pre table figure".split())
+_SECTIONS = frozenset("nav header footer aside form menu dialog".split())
+# Names of boxes that are no content wherever they stand, and of those that are none outside of it.
+_FOREIGN = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
+    "popup modal overlay comment comments disqus share sharing related newsletter subscribe breadcrumb breadcrumbs pagination".split()
+)
+_FRAME = frozenset(
+    "alert banner sidebar menu nav navbar navigation header masthead footer social signup login search toolbar widget".split()
+)
+_PLACES = frozenset(
+    "site main page top bottom left right global primary secondary user reader list box block area section wrapper wrap "
+    "container inner outer bar slot unit row col item items link links form panel content".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Node:
-    __slots__ = ("tag", "children", "drop", "key", "kept")
+    __slots__ = ("tag", "children", "marks", "named", "hidden", "drop", "key", "form", "kept", "size", "linked", "textual")
+
+    def __init__(self, tag: str, marks: str = "", named: str = "", hidden: bool = False):
+        self.tag, self.children, self.marks, self.named, self.hidden = tag, [], marks, named, hidden
+        self.drop, self.key, self.form, self.kept, self.size, self.linked, self.textual = hidden, 0, 0, False, 0, 0, False
 
-    def __init__(self, tag: str, drop: bool):
-        self.tag, self.children, self.drop, self.key, self.kept = tag, [], drop, 0, False
 
+def _name_of(token: str) -> str:
+    """ "foreign" or "frame" if a class or id is such a name, alone or with words for places, else ''."""
+    words = re.split("[-_]+", token)
+    if _FOREIGN.isdisjoint(words) and _FRAME.isdisjoint(words):
+        return ""
+    if not all(w in _FOREIGN or w in _FRAME or w in _PLACES or w.isdigit() or not w for w in words):
+        return ""
+    return "frame" if _FOREIGN.isdisjoint(words) else "foreign"
 
-def _unwanted(tag: str, attrs) -> bool:
-    if tag in _DROP:
-        return True
-    if tag in ("html", "body", "main"):
-        return False
+
+def _element(tag: str, attrs) -> _Node:
+    if not attrs:
+        return _Node(tag, "", "", tag in _DROP)
+    marks, names, hidden = [], set(), tag in _DROP
+    outer = tag in ("html", "body", "main", "article")
     for name, value in attrs:
-        value = value or ""
-        if name in ("class", "id") and not _NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value.lower())):
-            return True
-        if name == "role" and value.lower() in _ROLES or name == "hidden":
-            return True
-        if name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-    return False
+        value = (value or "").lower()
+        if name in ("class", "id"):
+            tokens = value.split()
+            marks += [name + re.sub("[0-9]+", "0", t) for t in tokens]
+            if not outer and tag not in _PROSE:
+                names.update(_name_of(t) for t in tokens)
+        elif name == "role":
+            marks.append("role" + value)
+            hidden = hidden or value in _ROLES and not outer
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
+            hidden = hidden or not outer
+    named = "foreign" if "foreign" in names else "frame" if "frame" in names else ""
+    return _Node(tag, " ".join(sorted(marks)), named, hidden)
 
 
 class _Tree(HTMLParser):
@@ -80,7 +108,7 @@ class _Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("#root", False)
+        self.root = _Node("#root")
         self.open = [self.root]
 
     def _close(self, tags, stop) -> None:
@@ -96,7 +124,7 @@ class _Tree(HTMLParser):
             self._close(*_CLOSERS[tag])
         if tag in _CLOSES_P:
             self._close({"p"}, _CLOSES_P - {"p"})
-        node = _Node(tag, _unwanted(tag, attrs))
+        node = _element(tag, attrs)
         self.open[-1].children.append(node)
         if tag not in _VOID:
             self.open.append(node)
@@ -130,30 +158,60 @@ def _walk(root: _Node):
     return reversed(order)
 
 
-def hash_subtrees(root: _Node) -> list[int]:
-    """Set every node's key and whether it is kept; return the keys of subtrees that may be template.
+def hash_subtrees(root: _Node, lists: bool = True) -> tuple[list[int], list[int]]:
+    """Set what each node needs; return the text keys and the form keys of subtrees that may be template.
 
-    Prose of the main content is kept with all that is in it and the elements around it.
+    Prose of the main content is kept with all that is in it and the elements around it. Without ``lists`` no element
+    goes for its tag, role or class, but those that are never shown.
     """
-    may, prose = [], set()
+    order, prose, content = [], set(), set()
     for node, inside, below in _walk(root):
-        parts = [node.tag]
-        is_prose = node.tag in _PROSE
+        parts, forms = [node.tag], [node.tag, node.marks]
+        is_prose, holds = node.tag in _PROSE, node.tag in ("article", "main")
+        node.textual = node.tag in _TEXTUAL
         for child in node.children:
             if isinstance(child, _Node):
                 parts.append(f"<{child.key:x}>")
+                form = f"<{child.form:x}>"
+                if form != forms[-1]:
+                    forms.append(form)
                 is_prose = is_prose or id(child) in prose
+                holds = holds or id(child) in content
+                node.textual = node.textual or child.textual
+                node.size += child.size
+                node.linked += child.linked
             elif text := " ".join(child.split()):
                 parts.append(text)
+                node.size += len(text)
+        if node.tag == "a":
+            node.linked = node.size
         if is_prose:
             prose.add(id(node))
-        outer = node.tag in ("#root", "html", "body", "article", "main")
+        if holds:
+            content.add(id(node))
+        outer = node.tag in ("#root", "html", "body") or holds
         node.kept = outer or below or inside and is_prose
+        node.drop = node.tag in _UNSHOWN or lists and (
+            node.hidden and not (node.tag == "form" and holds) or node.named == "foreign" or node.named == "frame" and not inside and not holds
+        )
         if len(parts) > 1:
             node.key = xxh64_intdigest("\x00".join(parts))
-            if not node.kept and not node.drop:
-                may.append(node.key)
-    return may
+        node.form = xxh64_intdigest("\x01".join(forms))
+        order.append(node)
+    texts, boxes = [], []
+    for node in order:
+        if node.kept or not node.size or node.tag in _UNSHOWN:
+            node.form = 0
+            if node.kept:
+                node.key = 0
+            continue
+        texts.append(node.key)
+        marked = node.tag in _SECTIONS or node.marks or node.linked == node.size
+        if marked and not node.textual and 2 * node.size < root.size:
+            boxes.append(node.form)
+        else:
+            node.form = 0
+    return texts, boxes
 
 
 def host_of(url: str | None) -> str:
@@ -161,23 +219,21 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].rpartition("@")[2].partition(":")[0].lower()
 
 
-def site_keys(root: _Node, host: str) -> list[int]:
-    """Keys of a page's candidate subtrees, tied to its host; each once."""
-    seed = xxh64_intdigest(host)
-    return sorted({xxh64_intdigest(k.to_bytes(8, "little"), seed=seed) for k in hash_subtrees(root)})
+def site_keys(root: _Node) -> list[int]:
+    """Keys of a page's candidate subtrees, each once; ``hash_subtrees`` sets them."""
+    texts, boxes = hash_subtrees(root)
+    return sorted({*texts, *boxes})
 
 
-def main_text(root: _Node, host: str, templates) -> str:
-    """Blocks of the main content, without unwanted parts and templates; needs ``hash_subtrees``."""
-    seed = xxh64_intdigest(host)
+def main_text(root: _Node, templates, prefer_article: bool = True) -> str:
+    """Blocks of the main content, without unwanted parts and templates; needs ``hash_subtrees``.
+
+    A page that is nothing but template keeps its text.
+    """
     blocks: list[list[str]] = [[]]
 
     def gone(node):
-        if node.drop:
-            return True
-        return bool(templates) and not node.kept and node.key and (
-            xxh64_intdigest(node.key.to_bytes(8, "little"), seed=seed) in templates
-        )
+        return node.drop or node.key in templates or node.form in templates
 
     def gather(start):
         todo = [(start, False)]
@@ -199,9 +255,11 @@ def main_text(root: _Node, host: str, templates) -> str:
     roots, todo = [], [root]
     while todo:
         node = todo.pop()
-        if node.tag in ("article", "main") and not node.drop:
+        if gone(node):
+            continue
+        if prefer_article and node.tag in ("article", "main"):
             roots.append(node)
-        elif not node.drop:
+        else:
             todo += [c for c in reversed(node.children) if isinstance(c, _Node)]
     for node in roots:
         gather(node)
@@ -210,6 +268,8 @@ def main_text(root: _Node, host: str, templates) -> str:
         blocks[:] = [[]]
         gather(root)
         joined = [" ".join("".join(b).split()) for b in blocks]
+    if templates and not any(joined):
+        return main_text(root, frozenset(), prefer_article)
     return "\n".join(b for b in joined if b)
 
 
@@ -217,87 +277,82 @@ def _signed(keys) -> list[int]:
     return [k - (1 << 64) if k >= 1 << 63 else k for k in keys]
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, key): subtrees that occur on many pages of their host; ``pages`` has url and html."""
+def page_keys(pages: DataFrame) -> DataFrame:
+    """(host, page, keys) of each different page of (url, html); ``page`` is a digest of its html."""
 
     def run(batches):
         for batch in batches:
-            hosts, counts, keys = [], [], []
-            for url, html in zip(batch.column(0).to_pylist(), binary_values(batch.column(1))):
-                host = host_of(url)
-                hosts.append(host)
-                keys.append([0, *_signed(site_keys(parse(html), host))])  # 0 stands for the page itself
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.list_(pa.int64()))], ["host", "keys"])
+            raw = binary_values(batch.column(1))
+            keys = [_signed(site_keys(parse(html))) for html in raw]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([host_of(u) for u in batch.column(0).to_pylist()], pa.string()), batch.column(2),
+                 pa.array(keys, pa.list_(pa.int64()))], ["host", "page", "keys"],
+            )
+
+    found = arrow_map(pages.select("url", "html", _page("html").alias("page")), run, "host string, page string, keys array<bigint>")
+    return stage(found.groupBy("host", "page").agg(F.first("keys").alias("keys")), "page-keys")
+
+
+def _page(html: str) -> Column:
+    return F.md5(F.coalesce(F.col(html).cast("binary"), F.lit(b"")))
 
-    found = arrow_map(pages.select("url", "html"), run, "host string, keys array<bigint>")
-    counted = stage(found.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(
-        (F.col("key") == 0) | (F.col("n") >= min_pages)), "subtrees")
-    total = counted.where("key = 0").select("host", F.col("n").alias("pages"))
-    return counted.where("key <> 0").join(total.hint("merge"), "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "key")
+
+def templates(keys: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, key): subtrees that occur on many different pages of their host."""
+    pages = keys.groupBy("host").agg(F.count("*").alias("pages"))
+    counted = keys.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(
+        F.col("n") >= min(SMALL_HOST, min_pages))
+    counted = stage(counted, "subtrees")
+    most = F.greatest(F.lit(min_pages), F.least(F.ceil(min_share * F.col("pages")), F.lit(max(MOST_PAGES, min_pages))))
+    needed = F.when(F.col("pages") < min_pages, F.greatest("pages", F.lit(min(SMALL_HOST, min_pages)))).otherwise(most)
+    return attach_dealt(counted, pages, ["host"], ["key"]).where(F.col("n") >= needed).select("host", "key")
+
+
+def _page_templates(keys: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """(host, page, gone): the templates each page has, joined key by key, so nothing is held for a host as a whole."""
+    known = stage(templates(keys, min_pages, min_share), "templates")
+    cells = stage(keys.select("host", "page", F.explode("keys").alias("key")), "cells")
+    found = attach_dealt(cells, known.withColumn("found", F.lit(True)), ["host", "key"], ["page"])
+    return found.groupBy("host", "page").agg(F.collect_list("key").alias("gone"))
 
 
 def extract(
     pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None,
-    min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, block_keys: int = BLOCK_KEYS,
+    min_pages: int | None = MIN_PAGES, min_share: float = MIN_SHARE, lists: bool = True, prefer_article: bool = True,
 ) -> DataFrame:
     """``pages`` (columns ``keep``) with ``text``, the main text, and ``n_chars``, its code points.
 
     Blocks are joined by line ends, white space inside a block is one space, character
-    references are decoded. Null html is empty, a null url is a host of its own. Repeated
-    rows count as pages of their own and get equal texts.
+    references are decoded. Null html is empty, a null url is a host of its own. Copies of a page
+    count once on their host and get equal texts. With ``min_pages`` None nothing is taken as template. Without ``lists`` and ``prefer_article`` only
+    templates, and what is never shown, are removed from the whole body. A column ``text`` or ``n_chars`` is replaced.
     """
     rows = without(pages, "text", "n_chars")
     carried = list(rows.columns if keep is None else keep)
     source = rows.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    known = stage(templates(source, min_pages, min_share), "templates")
-    count = known.count()
-    blocks = -(-count // block_keys) or 1
-    work = rows.select(*[F.col(f"`{c}`") for c in carried], F.col(url_col).alias("_url"), F.col(html_col).alias("_html"),
-                       F.lit(None).cast("array<bigint>").alias("_gone"))
-    for k in range(blocks):
-        part = known if blocks == 1 else known.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k)
-        keys = np.array([r["key"] for r in part.select("key").collect()], np.int64).view(np.uint64)
-        if k + 1 < blocks:  # note which of this block's templates each page has
-            work = stage(_note(work, frozenset(keys.tolist())), "pages")
-        else:
-            out = _texts(work, frozenset(keys.tolist()), carried)
-    return out
+    gone = _page_templates(page_keys(source), min_pages, min_share) if min_pages is not None else None
 
+    def hosts(batches):
+        for batch in batches:
+            names = pa.array([host_of(u) for u in batch.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([names, *batch.columns[1:]], ["host", *batch.schema.names[1:]])
 
-def _pairs(work: DataFrame, keys: frozenset, compute, kind, name: str, ddl: str, columns: list[str]) -> DataFrame:
-    shared = work.sparkSession.sparkContext.broadcast(keys)  # one block at most
-    at = [work.columns.index(c) for c in ("_url", "_html", "_gone")]
-    carried = [work.columns.index(c) for c in columns]
+    work = rows.select(F.col(url_col).alias("host"), F.col(html_col).alias("html"), _page(html_col).alias("page"), packed(carried))
+    work = arrow_map(work, hosts, T.StructType([T.StructField("host", T.StringType()), *work.schema.fields[1:]]))
+    if gone is None:
+        work = work.withColumn("gone", F.lit(None).cast("array<bigint>"))
+    else:
+        work = work.join(gone.hint("merge"), ["host", "page"], "left")
+    work = work.select("html", "gone", "_row")
 
     def run(batches):
         for batch in batches:
-            urls, gone = batch.column(at[0]).to_pylist(), batch.column(at[2]).to_pylist()
-            made = [
-                compute(url, html, {g & 0xFFFFFFFFFFFFFFFF for g in noted or ()}, shared.value)
-                for url, html, noted in zip(urls, binary_values(batch.column(at[1])), gone)
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in carried), pa.array(made, kind)], [*columns, name])
-
-    from pyspark.sql import types as T
-
-    fields = [work.schema.fields[i] for i in carried] + T.StructType.fromDDL(ddl).fields
-    return arrow_map(work, run, T.StructType(fields))
-
-
-def _note(work: DataFrame, keys: frozenset) -> DataFrame:
-    def compute(url, html, noted, block):
-        return _signed(sorted(noted | (set(site_keys(parse(html), host_of(url))) & block)))
-
-    columns = [c for c in work.columns if c != "_gone"]
-    return _pairs(work, keys, compute, pa.list_(pa.int64()), "_gone", "_gone array<bigint>", columns)
-
-
-def _texts(work: DataFrame, keys: frozenset, carried: list[str]) -> DataFrame:
-    def compute(url, html, noted, block):
-        root = parse(html)
-        host = host_of(url)
-        hash_subtrees(root)
-        return main_text(root, host, noted | block if noted else block)
-
-    out = _pairs(work, keys, compute, pa.string(), "text", "text string", carried)
-    return out.withColumn("n_chars", F.length("text").cast("bigint"))
+            texts = []
+            for html, noted in zip(binary_values(batch.column(0)), batch.column(1).to_pylist()):
+                root = parse(html)
+                hash_subtrees(root, lists)
+                texts.append(main_text(root, {g & 0xFFFFFFFFFFFFFFFF for g in noted or ()}, prefer_article))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2)], ["text", "_row"])
+
+    out = arrow_map(work, run, T.StructType([T.StructField("text", T.StringType()), work.schema["_row"]]))
+    return out.select(*unpacked(carried), F.col("text").alias("text"), F.length("text").cast("bigint").alias("n_chars"))
