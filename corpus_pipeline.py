@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustkpi.llm import classifier, decontamination, mixing, sharding, simhash
 from trustkpi.llm.queries import MIX, domain
-from trustkpi.llm.shared import row_key, table
+from trustkpi.llm.shared import table
 from trustkpi.session import shared_dir, staged_for
 
 
@@ -30,9 +30,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _unpacked(kept, docs, "doc_id", "text")
 
 
+def _row_digest(docs: DataFrame) -> Column:
+    """Digest of all columns of a row: only rows that are equal in every column share it."""
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    return F.sha2(F.concat_ws("|", others, F.coalesce(F.sha2("text", 256), F.lit("null"))), 256)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the least id (nulls last), then the least row key."""
-    rows = _packed(docs, "doc_id", "text").withColumn("_key", row_key())
+    """One document of each group: the one with the least id (nulls last), then the least digest of its row.
+
+    Of rows that are equal in every column one stays.
+    """
+    keyed = docs.withColumn("_key", _row_digest(docs))
+    rows = _packed(keyed, "doc_id", "text", "_key")
     found = simhash.near_duplicates(rows, carry=("_key",))
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))
     stays = found.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first._key").alias("_key"))
