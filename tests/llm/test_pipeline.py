@@ -1,5 +1,7 @@
 """The pipeline stage by stage, and the entry module without it."""
 
+import hashlib
+import json
 import subprocess
 import sys
 from pathlib import Path
@@ -39,6 +41,19 @@ def test_stages_keep_columns_and_their_rules(spark, tmp_path):
     assert max(sizes) - min(sizes) <= 1
 
 
+def test_of_rows_with_one_text_the_least_stays(frame, spark):
+    rows = [(None, "same text here now", "b", 1), (None, "same text here now", "a", 2), (7, "other words in this one", "x", 1), (7, "other words in this one", "y", 1),
+            (7, "other words in this one", "x", 1), (3, None, "n", 1), (4, "", "e", None)]
+    docs = frame(rows, "doc_id bigint, text string, source string, n_chars bigint")
+    kept = corpus_pipeline.near_duplicates(spark, docs, TABLES)
+    assert kept.columns == docs.columns
+    got = sorted(map(tuple, kept.collect()), key=str)
+    least = {r: hashlib.sha256(f"{json.dumps({k: v for k, v in zip(('doc_id', 'source', 'n_chars'), (r[0], *r[2:])) if v is not None}, separators=(',', ':'))}|".encode()
+                               + (hashlib.sha256(r[1].encode()).hexdigest() if r[1] is not None else "null").encode()).hexdigest() for r in rows}
+    one, two = (min((r for r in rows if r[1] and r[1].startswith(t)), key=least.get) for t in ("same", "other"))
+    assert got == sorted([one, two, rows[5]], key=str)  # no text and an empty one are one group
+
+
 def test_pipeline_of_empty_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{TABLES}/documents.parquet").limit(0)
     for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
@@ -49,7 +64,7 @@ def test_pipeline_of_empty_documents(spark, tmp_path):
 
 def test_registry_has_all_queries():
     names = registry.queries()
-    assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in names)] == [] and "pipeline" in names
+    assert [n for n in range(1, 14) if not any(k.startswith(f"op{n}_") for k in names)] == [] and "pipeline" in names
 
 
 def test_entry_imports_without_the_optional_parts(tmp_path):
