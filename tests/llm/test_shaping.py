@@ -248,19 +248,25 @@ def test_template_counts_match_brute_force(frame):
     rows = templated(True)[:70] + templated(False)[:6] + [(900 + i, f"http://u{i // 4}.org", f"<div>one</div><div>two {i}</div>") for i in range(9)]
     pages, on = {}, defaultdict(set)
     for _, url, html in rows:
-        root = html_text.parse(html.encode())
-        pages.setdefault(html_text.host_of(url), {})[html] = {k for part in html_text.hash_subtrees(root) for k in part}
+        host = url.split("/")[2]
+        pages.setdefault(host, {})[html] = {k for part in html_text.hash_subtrees(html_text.parse(html.encode()), host) for k in part}
     for host, by in pages.items():
         count = Counter(k for keys in by.values() for k in keys)
         need = max(10, -(-len(by) * 2 // 100)) if len(by) >= 10 else max(3, len(by))
         on[host] = {k for k, n in count.items() if n >= need}
-    found = html_text.templates(html_text.page_keys(frame([r[1:] for r in rows], "url string, html string"))).collect()
+    found = html_text.templates(html_text.page_keys(frame([(r[1].split("/")[2], r[2]) for r in rows], "host string, html string"))).collect()
     got = defaultdict(set)
     for r in found:
         got[r.host].add(r.key & 0xFFFFFFFFFFFFFFFF)
     assert got == {h: k for h, k in on.items() if k} and {"t.org", "u0.org", "u1.org"} == set(got)
 
 
+def test_hosts_of_addresses(frame):
+    urls = {"https://U@Site.org:80/a?b#c": "site.org", "site.org/x": "site.org", "http://a.b?x@y": "a.b", "//p": "", "http://a@b@c.d:1": "c.d", None: "", "x://y://z": "y"}
+    rows = frame([(u,) for u in urls], "u string").select("u", html_text.host_of(F.col("u")).alias("h")).collect()
+    assert {r.u: r.h for r in rows} == urls
+
+
 def test_pages_of_nothing_but_template_keep_their_text(frame):
     rows = [(i, "http://x.org", f"<title>{i}</title><p>Not found</p>") for i in range(30)]
     got = html_text.extract(frame(rows, "page_id bigint, url string, html string")).collect()

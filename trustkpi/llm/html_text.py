@@ -28,6 +28,8 @@ from trustkpi.session import stage
 # A template is on MIN_PAGES pages of its host and on MIN_SHARE of them, but never needs more than MOST_PAGES;
 # on a host of fewer pages, SMALL_HOST at least, it is on all of them.
 MIN_PAGES, MIN_SHARE, MOST_PAGES, SMALL_HOST = 10, 0.02, 200, 3
+# Pieces the pages of a template are dealt to.
+DEALT = 8
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROP = frozenset(
@@ -158,13 +160,15 @@ def _walk(root: _Node):
     return reversed(order)
 
 
-def hash_subtrees(root: _Node, lists: bool = True) -> tuple[list[int], list[int]]:
-    """Set what each node needs; return the text keys and the form keys of subtrees that may be template.
+def hash_subtrees(root: _Node, host: str = "", lists: bool = True) -> tuple[list[int], list[int]]:
+    """Set what each node needs; return the text keys and the form keys of subtrees that may be template, tied to the host.
 
-    Prose of the main content is kept with all that is in it and the elements around it. Without ``lists`` no element
+    Prose of the main content is kept with all that is in it and the elements around it. An element that is all its
+    parent holds recurs with the parent and is not listed. Without ``lists`` no element
     goes for its tag, role or class, but those that are never shown.
     """
-    order, prose, content = [], set(), set()
+    order, prose, content, only = [], set(), set(), {}
+    seed = xxh64_intdigest(host)
     for node, inside, below in _walk(root):
         parts, forms = [node.tag], [node.tag, node.marks]
         is_prose, holds = node.tag in _PROSE, node.tag in ("article", "main")
@@ -195,8 +199,10 @@ def hash_subtrees(root: _Node, lists: bool = True) -> tuple[list[int], list[int]
             node.hidden and not (node.tag == "form" and holds) or node.named == "foreign" or node.named == "frame" and not inside and not holds
         )
         if len(parts) > 1:
-            node.key = xxh64_intdigest("\x00".join(parts))
-        node.form = xxh64_intdigest("\x01".join(forms))
+            node.key = xxh64_intdigest("\x00".join(parts), seed=seed)
+        if len(parts) == 2:
+            only.update((id(c), node) for c in node.children if isinstance(c, _Node) and c.key)
+        node.form = xxh64_intdigest("\x01".join(forms), seed=seed)
         order.append(node)
     texts, boxes = [], []
     for node in order:
@@ -205,7 +211,9 @@ def hash_subtrees(root: _Node, lists: bool = True) -> tuple[list[int], list[int]
             if node.kept:
                 node.key = 0
             continue
-        texts.append(node.key)
+        above = only.get(id(node))
+        if above is None or above.kept:
+            texts.append(node.key)
         marked = node.tag in _SECTIONS or node.marks or node.linked == node.size
         if marked and not node.textual and 2 * node.size < root.size:
             boxes.append(node.form)
@@ -214,14 +222,15 @@ def hash_subtrees(root: _Node, lists: bool = True) -> tuple[list[int], list[int]
     return texts, boxes
 
 
-def host_of(url: str | None) -> str:
-    rest = (url or "").split("://", 1)[-1]
-    return re.split(r"[/?#]", rest, maxsplit=1)[0].rpartition("@")[2].partition(":")[0].lower()
+def host_of(url: Column) -> Column:
+    """Host of an address in lower case, '' for NULL: what stands before path, query and port and after a user's name."""
+    place = F.regexp_extract(F.regexp_replace(F.coalesce(url, F.lit("")), "(?s)^.*?://", ""), "^[^/?#]*", 0)
+    return F.lower(F.regexp_extract(F.regexp_replace(place, "(?s)^.*@", ""), "^[^:]*", 0))
 
 
-def site_keys(root: _Node) -> list[int]:
-    """Keys of a page's candidate subtrees, each once; ``hash_subtrees`` sets them."""
-    texts, boxes = hash_subtrees(root)
+def site_keys(root: _Node, host: str) -> list[int]:
+    """Keys of a page's candidate subtrees, each once."""
+    texts, boxes = hash_subtrees(root, host)
     return sorted({*texts, *boxes})
 
 
@@ -278,42 +287,44 @@ def _signed(keys) -> list[int]:
 
 
 def page_keys(pages: DataFrame) -> DataFrame:
-    """(host, page, keys) of each different page of (url, html); ``page`` is a digest of its html."""
+    """(host, page, keys) of each different page of (host, html); ``page`` is a digest of both."""
 
     def run(batches):
         for batch in batches:
-            raw = binary_values(batch.column(1))
-            keys = [_signed(site_keys(parse(html))) for html in raw]
+            raw = zip(batch.column(0).to_pylist(), binary_values(batch.column(1)))
+            keys = [_signed(site_keys(parse(html), host)) for host, html in raw]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([host_of(u) for u in batch.column(0).to_pylist()], pa.string()), batch.column(2),
-                 pa.array(keys, pa.list_(pa.int64()))], ["host", "page", "keys"],
+                [batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int64()))], ["host", "page", "keys"]
             )
 
-    found = arrow_map(pages.select("url", "html", _page("html").alias("page")), run, "host string, page string, keys array<bigint>")
-    return stage(found.groupBy("host", "page").agg(F.first("keys").alias("keys")), "page-keys")
+    found = arrow_map(pages.select("host", "html", _page()), run, "host string, page bigint, keys array<bigint>")
+    return stage(found.groupBy("page").agg(F.first("host").alias("host"), F.first("keys").alias("keys")), "page-keys")
 
 
-def _page(html: str) -> Column:
-    return F.md5(F.coalesce(F.col(html).cast("binary"), F.lit(b"")))
+def _page() -> Column:
+    return F.xxhash64("host", F.coalesce("html", F.lit(""))).alias("page")
 
 
 def templates(keys: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, key): subtrees that occur on many different pages of their host."""
     pages = keys.groupBy("host").agg(F.count("*").alias("pages"))
-    counted = keys.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(
-        F.col("n") >= min(SMALL_HOST, min_pages))
-    counted = stage(counted, "subtrees")
+    # A key belongs to one host.
+    counted = keys.select("host", F.explode("keys").alias("key")).groupBy("key").agg(F.first("host").alias("host"), F.count("*").alias("n"))
+    counted = stage(counted.where(F.col("n") >= min(SMALL_HOST, min_pages)), "subtrees")
     most = F.greatest(F.lit(min_pages), F.least(F.ceil(min_share * F.col("pages")), F.lit(max(MOST_PAGES, min_pages))))
     needed = F.when(F.col("pages") < min_pages, F.greatest("pages", F.lit(min(SMALL_HOST, min_pages)))).otherwise(most)
     return attach_dealt(counted, pages, ["host"], ["key"]).where(F.col("n") >= needed).select("host", "key")
 
 
 def _page_templates(keys: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """(host, page, gone): the templates each page has, joined key by key, so nothing is held for a host as a whole."""
-    known = stage(templates(keys, min_pages, min_share), "templates")
-    cells = stage(keys.select("host", "page", F.explode("keys").alias("key")), "cells")
-    found = attach_dealt(cells, known.withColumn("found", F.lit(True)), ["host", "key"], ["page"])
-    return found.groupBy("host", "page").agg(F.collect_list("key").alias("gone"))
+    """(page, gone): the templates each page has, joined key by key, so nothing is held for a host as a whole.
+
+    The pages of a template are dealt to ``DEALT`` pieces, each of which meets a copy of it.
+    """
+    known = templates(keys, min_pages, min_share).select("key", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("piece"))
+    cells = keys.select("page", F.explode("keys").alias("key"), F.pmod("page", F.lit(DEALT)).cast("int").alias("piece"))
+    found = cells.join(known.hint("merge"), ["key", "piece"], "left_semi")
+    return found.groupBy("page").agg(F.collect_list("key").alias("gone"))
 
 
 def extract(
@@ -329,30 +340,22 @@ def extract(
     """
     rows = without(pages, "text", "n_chars")
     carried = list(rows.columns if keep is None else keep)
-    source = rows.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    gone = _page_templates(page_keys(source), min_pages, min_share) if min_pages is not None else None
-
-    def hosts(batches):
-        for batch in batches:
-            names = pa.array([host_of(u) for u in batch.column(0).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([names, *batch.columns[1:]], ["host", *batch.schema.names[1:]])
-
-    work = rows.select(F.col(url_col).alias("host"), F.col(html_col).alias("html"), _page(html_col).alias("page"), packed(carried))
-    work = arrow_map(work, hosts, T.StructType([T.StructField("host", T.StringType()), *work.schema.fields[1:]]))
-    if gone is None:
+    work = rows.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), packed(carried))
+    if min_pages is None:
         work = work.withColumn("gone", F.lit(None).cast("array<bigint>"))
     else:
-        work = work.join(gone.hint("merge"), ["host", "page"], "left")
-    work = work.select("html", "gone", "_row")
+        gone = _page_templates(page_keys(work), min_pages, min_share)
+        work = work.withColumn("page", _page()).join(gone.hint("merge"), "page", "left")
+    work = work.select("host", "html", "gone", "_row")
 
     def run(batches):
         for batch in batches:
             texts = []
-            for html, noted in zip(binary_values(batch.column(0)), batch.column(1).to_pylist()):
+            for host, html, noted in zip(batch.column(0).to_pylist(), binary_values(batch.column(1)), batch.column(2).to_pylist()):
                 root = parse(html)
-                hash_subtrees(root, lists)
+                hash_subtrees(root, host, lists)
                 texts.append(main_text(root, {g & 0xFFFFFFFFFFFFFFFF for g in noted or ()}, prefer_article))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2)], ["text", "_row"])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(3)], ["text", "_row"])
 
     out = arrow_map(work, run, T.StructType([T.StructField("text", T.StringType()), work.schema["_row"]]))
     return out.select(*unpacked(carried), F.col("text").alias("text"), F.length("text").cast("bigint").alias("n_chars"))
