@@ -15,7 +15,7 @@ TABLES = "/root/testdata/sf0.001"
 def test_shards_are_even_gapless_and_keep_equal_texts_together(frame):
     rows = [(i, f"text {i // 3}" if i < 300 else f"single {i}") for i in range(700)]
     rows += [(1000 + i, "hot") for i in range(350)] + [(None, None), (5, "text 1"), (5, "text 1")]
-    got = sharding.shard_documents(frame([(*r, 1) for r in rows], "doc_id bigint, text string, shard int"), rounds=12).collect()
+    got = sharding.shard_documents(frame([(*r, 1) for r in rows], "doc_id bigint, text string, shard int")).collect()
     sizes = Counter(r.shard for r in got)
     assert len(got) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 1 and set(sizes) == set(range(16))
     slots = defaultdict(set)
@@ -293,3 +293,48 @@ def test_shards_propagate_until_no_row_asks_to_move(spark, frame):
     held, filled = Counter((r.hub, r.label) for r in found), Counter(r.label for r in found)
     free = [k for k in range(shards) if filled[k] < capacity]
     assert not [r for r in found if any(held[r.hub, k] > held[r.hub, r.label] for k in free)]
+
+
+def uneven_groups(spark, rows):
+    """(node, hub): one hub with a third of the rows, the others of sizes that fall like 1/k, none alone."""
+    hubs = spark.range(1, rows).select(F.col("id").alias("hub"), F.floor(rows / 12 / F.col("id")).cast("int").alias("n"))
+    rest = hubs.where("n > 1").select("hub", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    hot = spark.range(rows // 3).select(F.lit(0).cast("bigint").alias("hub"), F.col("id").cast("int").alias("i"))
+    return rest.unionByName(hot)
+
+
+@pytest.mark.parametrize("slack", [0.0, sharding.SLACK])
+def test_cells_settle_where_no_cell_asks_to_move(spark, slack):
+    shards = 8
+    nodes = uneven_groups(spark, 9000)
+    cells = nodes.groupBy("hub", F.pmod(F.xxhash64("hub", "i"), F.lit(shards)).cast("int").alias("label")).agg(
+        F.count("*").alias("n")
+    )
+    before = Counter()
+    for r in cells.collect():
+        before[r.hub] += r.n
+    capacity = int(-(-sum(before.values()) // shards) * (1 + slack))
+    found = sharding.settle(cells, capacity, shards).collect()
+    held, filled, after = {(r.hub, r.label): r.n for r in found}, Counter(), Counter()
+    assert len(held) == len(found)
+    for r in found:
+        filled[r.label] += r.n
+        after[r.hub] += r.n
+    assert after == before
+    free = [k for k in range(shards) if filled[k] < capacity]
+    assert not [r for r in found if any(held.get((r.hub, k), 0) > r.n for k in free)]
+
+
+def test_members_of_a_settled_group_share_its_shards(spark):
+    nodes = uneven_groups(spark, 6000)
+    docs = nodes.select(F.monotonically_increasing_id().alias("doc_id"), F.concat(F.lit("group "), "hub").alias("text"))
+    got = sharding.shard_documents(docs).collect()
+    sizes = Counter(r.shard for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and sum(sizes.values()) == nodes.count()
+    places = defaultdict(Counter)
+    for r in got:
+        places[r.text_crc32][r.shard] += 1
+    small = [c for c in places.values() if sum(c.values()) <= 10]
+    assert sum(len(c) == 1 for c in small) >= 0.8 * len(small)
+    hot = max(places.values(), key=lambda c: sum(c.values()))
+    assert sum(n for _, n in hot.most_common(7)) >= 0.85 * sum(hot.values())  # it fills at least 16 / 3 shards

@@ -1,24 +1,29 @@
 """Balanced label propagation: linked documents gather in shards of even size.
 
-Links are given as (node, hub): nodes of one hub are linked to each other. A hub keeps
-one row with its members per shard, so a hub with very many members costs no more than
-its link rows. Each round every node looks up its hubs' counts and asks for the shard
-that holds most of its neighbours; moves between two shards are admitted up to the room
-left plus what moves the other way. Rounds go on until no node asks for another shard. At
-the end sizes are made exact.
+Links are given as (node, hub): nodes of one hub are linked to each other. Each round every
+node looks up its hubs' members per shard and asks for the shard that holds most of its
+neighbours; moves between two shards are admitted up to the room left plus what moves the
+other way. Rounds go on until no node asks for another shard. At the end sizes are made exact.
+
+Where each node has one hub, as with equal texts, the nodes of a hub in one shard are alike:
+``settle`` moves such cells (hub, shard, count), at most one per hub and shard however many
+documents they stand for, and the documents are dealt to the cells once at the end.
+``propagate`` is for nodes with several hubs and moves the nodes themselves.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustkpi.operators.running import running_total
-from trustkpi.llm.shared import without
+from trustkpi.llm.shared import attach_dealt
 from trustkpi.session import drop_staged, stage, staged_count
 
 SHARDS = 16
+# While cells move, a shard may be this much above its even share: with no place to spare hardly any could move.
+SLACK = 0.03
 _GRAIN = 1 << 20
 
 
@@ -87,6 +92,62 @@ def propagate(links: DataFrame, capacity: int, shards: int = SHARDS, rounds: int
     return state.select("node", "label").distinct()
 
 
+def settle(cells: DataFrame, capacity: int, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
+    """``cells`` (hub, label, n) when no cell asks to move; the members of every hub keep their number.
+
+    All moves of a hub go to the one shard with room that holds most of it, so the pairs
+    that share a shard grow with every move and the rounds end. A cell that fits into what
+    may move goes whole or not at all, a larger one in part; what goes is drawn from the
+    hub and the round, and adds up to the places there are on average.
+    """
+    spark, since = cells.sparkSession, staged_count()
+    state = stage(cells.select("hub", "label", "n"), "cells")
+    shard = range(shards)
+    turn = 0
+    while rounds is None or turn < rounds:
+        tally = state.groupBy("hub").agg(
+            F.array(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)) for k in shard]).alias("members")
+        )
+        sizes = {r["label"]: r["n"] for r in state.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+        room = [capacity - sizes.get(k, 0) for k in shard]
+        free = spark.createDataFrame(pa.table({"free": pa.array([[n > 0 for n in room]], pa.list_(pa.bool_()))}))
+        # Members, then a draw that is the same for all cells of a hub, so that ties end in one shard.
+        rated = [
+            F.struct(F.col("members")[k].alias("v"), F.xxhash64("hub", F.lit(k)).alias("draw"), F.lit(k).alias("k"))
+            for k in shard
+        ]
+        open_to = [F.when((F.col("label") == k) | F.col("free")[k], rated[k]) for k in shard]
+        asked = stage(
+            state.join(tally.hint("merge"), "hub").crossJoin(free)
+            .select("hub", "label", "n", F.array_max(F.array(*open_to))["k"].alias("to")), "asked",
+        )
+        moves = asked.where("`to` <> label").groupBy("label", "to").agg(F.sum("n").alias("n"))
+        wants = {(r["label"], r["to"]): r["n"] for r in moves.collect()}
+        if not wants:
+            break
+        share = sorted(_quotas(wants, room).items())
+        limits = spark.createDataFrame(pa.table({
+            "label": pa.array([a for (a, _), _ in share], pa.int32()), "to": pa.array([b for (_, b), _ in share], pa.int32()),
+            "part": pa.array([part for _, part in share], pa.float64()),
+            "most": pa.array([wants[pair] * part for pair, part in share], pa.float64()),
+            "turn": pa.array([turn] * len(share), pa.int32()),
+        }))
+        draw = F.xxhash64("hub", "label", "turn") / F.lit(2.0**64) + 0.5
+        piece = F.when(F.col("n") <= F.col("most"), F.when(draw < F.col("part"), F.col("n")).otherwise(0)).otherwise(
+            F.least("n", F.floor(F.col("n") * F.col("part") + draw))
+        )
+        split = asked.join(limits, ["label", "to"], "left").withColumn("goes", F.coalesce(piece, F.lit(0)).cast("bigint"))
+        parts = F.array(
+            F.struct("label", (F.col("n") - F.col("goes")).alias("n")), F.struct(F.col("to").alias("label"), F.col("goes").alias("n"))
+        )
+        state = stage(
+            split.select("hub", F.inline(parts)).where("n > 0").groupBy("hub", "label").agg(F.sum("n").alias("n")), "cells"
+        )
+        drop_staged(spark, since, keep=1)  # only the last cells are read again
+        turn += 1
+    return state
+
+
 def even_out(nodes: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``nodes`` (node, label or null, order) with ``shard`` and ``slot``; shard sizes differ by one at most.
 
@@ -137,12 +198,21 @@ def shard_documents(
     )
     # The hashed node numbers spread neighbouring rows; the row number keeps them apart.
     rows = rows.withColumn("node", F.struct("node", "row"))
-    groups = rows.groupBy("hub").agg(F.count("*").alias("members")).where("members > 1").select("hub")
-    links = rows.select("node", "hub").join(groups.hint("merge"), "hub", "left_semi")
     total = rows.count()
-    labels = propagate(links, -(-total // shards) if total else 1, shards, rounds)
-    nodes = rows.join(labels.hint("merge"), "node", "left").select(
-        "node", "id", "size", "text_crc32", "label", F.col("hub").alias("order")
+    first = F.pmod(F.xxhash64("node", F.lit("first")), F.lit(shards)).cast("int")
+    cells = stage(rows.groupBy("hub", first.alias("label")).agg(F.count("*").alias("n")), "cells")
+    linked = cells.groupBy("hub").agg(F.sum("n").alias("members")).where("members > 1").select("hub")
+    capacity = int(-(-total // shards) * (1 + SLACK)) if total else 1
+    cells = settle(cells.join(linked.hint("merge"), "hub", "left_semi"), capacity, shards, rounds)
+    # A hub has at most one cell per shard: its members, in order, fill one cell after the other.
+    filled = Window.partitionBy("hub").orderBy("label")
+    ends = cells.withColumn("end", F.sum("n").over(filled)).groupBy("hub").agg(
+        F.array_sort(F.collect_list(F.struct("end", "label"))).alias("ends")
+    )
+    ranked = stage(running_total(rows.withColumn("one", F.lit(1)), ["hub"], ["node"], "one", "place"), "ranked")
+    nodes = attach_dealt(ranked, ends, ["hub"], ["node"], "left").select(
+        "node", "id", "size", "text_crc32", F.expr("filter(ends, e -> e.end > place)[0].label").alias("label"),
+        F.col("hub").alias("order"),
     )
     return even_out(nodes, shards).select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard",
