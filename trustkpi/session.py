@@ -5,13 +5,23 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
-_staged: list[str] = []
+
+
+class _Staged(threading.local):
+    """Paths staged by this thread: queries built side by side don't delete each other's tables."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_staged = _Staged()
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -58,23 +68,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _staged.append(path)
+    _staged.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def staged_count() -> int:
-    """Number of staged tables that exist, for ``drop_staged``."""
-    return len(_staged)
+    """Number of staged tables of this thread that exist, for ``drop_staged``."""
+    return len(_staged.paths)
 
 
 def drop_staged(spark: SparkSession, first: int, keep: int = 0) -> None:
-    """Delete the tables staged since there were ``first``, but not the last ``keep``."""
-    end = max(first, len(_staged) - keep)
-    for path in _staged[first:end]:
+    """Delete the tables this thread staged since there were ``first``, but not the last ``keep``."""
+    paths = _staged.paths
+    end = max(first, len(paths) - keep)
+    for path in paths[first:end]:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    del _staged[first:end]
+    del paths[first:end]
 
 
 @contextmanager
