@@ -5,22 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trustkpi.llm.shared import PIECES
 from trustkpi.session import stage
 
 
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``edges`` with ``m``, the least ``v`` of their ``u``; the table (u, m)).
+
+    The edges of a node are dealt to pieces by ``v``; a hub's least neighbour goes to its pieces, and no
+    task gets all its edges.
+    """
+    dealt = edges.withColumn("_piece", F.pmod(F.xxhash64("v"), F.lit(PIECES)).cast("int"))
+    pieces = dealt.groupBy("u", "_piece").agg(F.min("v").alias("m"))
+    least = pieces.groupBy("u").agg(F.min("m").alias("m"))
+    known = pieces.select("u", "_piece").join(least.hint("merge"), "u")
+    return dealt.join(known.hint("merge"), ["u", "_piece"]).drop("_piece"), least
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (
-        both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    )
+    met, _ = _with_least(edges.union(edges.select("v", "u")))
+    return met.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least.hint("merge"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v")))
+    met, least = _with_least(
+        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
+    )
+    return met.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
+        least.select("u", F.col("m").alias("v"))
+    )
 
 
 def _print_of(edges: DataFrame) -> tuple:
@@ -31,9 +44,8 @@ def _print_of(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """(node, root) for every node of ``edges``; root is the least node of its component.
 
-    Each round joins every edge to the least neighbour of its ends; a hub with very
-    many edges meets one row there, which an adaptive join can split. Rounds are
-    staged, so a lost executor costs one round at most. An empty input gives no rows.
+    Each round joins every edge to the least neighbour of its ends, a hub's edges in
+    pieces. Rounds are staged, so a lost executor costs one round at most. An empty input gives no rows.
     """
     now = stage(
         edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct(), "links"

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from trustkpi.llm.components import components
-from trustkpi.llm.shared import arrow_map, text_map
+from trustkpi.llm.shared import arrow_map, attach_dealt, text_map
 from trustkpi.session import stage
 
 SHINGLE = 4
@@ -230,8 +230,9 @@ def near_duplicates(
         .select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "named",
     )
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    per_print = named.select("fp", "root").join(least.hint("merge"), "root")
-    return prints.join(per_print.hint("merge"), "fp").select(
+    # A component may hold a third of all fingerprints, a fingerprint a third of all rows: both in pieces.
+    per_print = attach_dealt(named.select("fp", "root"), least, ["root"], ["fp"])
+    return attach_dealt(prints, per_print, ["fp"], ["id"]).select(
         F.col("id").alias(id_col), *carry, "fp", "root", "component_id"
     )
 
