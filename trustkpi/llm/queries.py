@@ -67,7 +67,7 @@ def op7_chat_format(spark, folder):
 
 
 def op8_substring_dedup(spark, folder):
-    kept = recompression.remove_repeats(table(spark, folder, "documents"), with_text=False)
+    kept = recompression.remove_repeats(table(spark, folder, "documents"), with_text=False, from_files=True)
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustkpi.llm.shared import binary_values
+from trustkpi.session import stage
 
 WINDOW = 20
 # Contexts grow with the rounds; after three they are up to a window of 20 words.
@@ -403,7 +404,7 @@ def _finish(size: int, with_text: bool):
 
 def remove_repeats(
     docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True,
-    rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES,
+    rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, from_files: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256, ``removed`` word ranges, ``kept_text``.
 
@@ -412,8 +413,13 @@ def remove_repeats(
     up in the same document. Kept words are joined by one space. Null texts have no words;
     texts shorter than the window stay whole. Ids are whole numbers. An empty table gives
     no rows. ``kept_text`` is null unless ``with_text``.
+
+    ``from_files`` says that ``docs`` is a plain scan of files, whose rows come in the same order when a
+    task runs again. Other input is staged first: a row's number must not change after a lost executor.
     """
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    if not from_files:
+        slim = stage(slim, "texts")
     volume = slim.agg(F.sum(F.octet_length("text") + 40).alias("s")).first()["s"] or 0
     chunks, buckets = -(-int(volume) // chunk_bytes) or 1, -(-int(volume) // bucket_bytes) or 1
     # The row number spreads repeated rows over the chunks and orders equal ids.
