@@ -9,6 +9,7 @@ from trustkpi import fixed
 from trustkpi.functions.numbers import parse_number
 from trustkpi.functions.text import text_array
 from trustkpi.operators.clean import COPIES, POSITION
+from trustkpi.operators.column_state import long_rows
 from trustkpi.operators.keyed import Keys, attach, cols, data_columns
 from trustkpi.operators.profile import profile
 from trustkpi.session import stage
@@ -71,34 +72,23 @@ def consistency_bonus(cleaned: DataFrame, pair: DataFrame, keys: Keys = ()) -> D
         *cols([*keys, *columns]), pick(rows, F.col("price_col"), columns).alias("_price"),
         pick(rows, F.col("quantity_col"), columns).alias("_quantity"),
     )
-    numeric = rows.select(
-        *cols(keys), (parse_number("_price") * parse_number("_quantity")).alias("_calc"),
-        *[parse_number(F.col(f"`{c}`")).alias(f"_v{i}") for i, c in enumerate(columns)],
-    ).where("_calc IS NOT NULL")
-    measures = []
-    for i, _ in enumerate(columns):
-        v = F.col(f"_v{i}")
-        calc = F.when(v.isNotNull(), F.col("_calc"))
-        measures += [
-            F.count(v).alias(f"_n{i}"),
-            F.stddev_pop(v).alias(f"_sv{i}"),
-            F.stddev_pop(calc).alias(f"_sc{i}"),
-            F.covar_pop(v, F.col("_calc")).alias(f"_cv{i}"),
-        ]
-    wide = numeric.groupBy(*cols(keys)).agg(*measures)
-    entries = []
-    for i, c in enumerate(columns):
-        varies = (F.col(f"_n{i}") >= 3) & (F.col(f"_sv{i}") > 0) & (F.col(f"_sc{i}") > 0)
-        # Spark's corr divides by zero for a constant column in ANSI mode.
-        r = F.try_divide(F.col(f"_cv{i}"), F.col(f"_sv{i}") * F.col(f"_sc{i}"))
-        raw = F.greatest(F.lit(0.0), F.least(F.lit(0.2), r * 0.2))
-        entries.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.coalesce(F.when(varies & r.isNotNull(), F.round(raw, 4)), F.lit(0.0)).alias("bonus"),
-            )
-        )
-    return wide.select(*cols(keys), F.inline(F.array(*entries)))
+    # Every cell meets its row's product, so that one parse serves all columns.
+    rows = rows.withColumn("_calc", parse_number("_price") * parse_number("_quantity")).where("_calc IS NOT NULL")
+    pairs = long_rows(rows, [*keys, "_calc"], columns).select(
+        *cols(keys), "column", parse_number("value").alias("_v"), "_calc"
+    )
+    calc = F.when(F.col("_v").isNotNull(), F.col("_calc"))
+    wide = pairs.groupBy(*cols(keys), "column").agg(
+        F.count("_v").alias("_n"), F.stddev_pop("_v").alias("_sv"), F.stddev_pop(calc).alias("_sc"),
+        F.covar_pop("_v", "_calc").alias("_cv"),
+    )
+    varies = (F.col("_n") >= 3) & (F.col("_sv") > 0) & (F.col("_sc") > 0)
+    # Spark's corr divides by zero for a constant column in ANSI mode.
+    r = F.try_divide(F.col("_cv"), F.col("_sv") * F.col("_sc"))
+    raw = F.greatest(F.lit(0.0), F.least(F.lit(0.2), r * 0.2))
+    return wide.select(
+        *cols(keys), "column", F.coalesce(F.when(varies & r.isNotNull(), F.round(raw, 4)), F.lit(0.0)).alias("bonus")
+    )
 
 
 def scored_candidates(cleaned: DataFrame, keys: Keys = (), order: DataFrame | None = None) -> DataFrame:
