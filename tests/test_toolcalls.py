@@ -146,3 +146,36 @@ def test_arguments_keep_order_and_signs(spark, arguments, kept):
     )
     got = tc.convert_public(rows).first().messages[2].content
     assert got == '{"tool_calls":[{"method":"tools/call","params":{"name":"na\\u00efve","arguments":' + kept + "}}]}"
+
+
+def test_fences_and_spaces_are_taken_off_once(spark):
+    expression = evals.parse_calls(F.col("t"))._jc.toString()
+    assert expression.count("```(json)?") == 1
+    texts = ["```json\n{}\n``` ", "``````", "\u3000x \u2028", " ```\n", "a```", "```jsonx", "a b", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.bare for r in rows.select("i", evals.strip_fences(F.col("t")).alias("bare")).orderBy("i").collect()]
+    assert got == ["{}", "", "x", "", "a", "x", "a b", "", None]
+
+
+def test_missing_id_and_samples_in_draw_order(spark):
+    import hashlib
+
+    from trustkpi.functions import draws
+
+    rows = spark.createDataFrame([(7,), (None,)], "id bigint")
+    words = ["x", "y", "z"]
+    taken = draws.sample(F.col("id"), 3, "s", words, F.lit(2))
+    assert "lambda" not in taken._jc.toString().split("sort_array")[0] and "sort_array" in taken._jc.toString()
+    got = {r.id: (r.d, r.w) for r in rows.select("id", draws.draw(F.col("id"), 3, "s").alias("d"), taken.alias("w")).collect()}
+    for row_id, head in ((7, "7|"), (None, "")):
+        digest = lambda slot: hashlib.md5((head + "3|" + slot).encode()).hexdigest()  # noqa: B023, E731
+        assert got[row_id] == (int(digest("s")[:8], 16), sorted(words, key=lambda v: digest("s:" + v))[:2])
+
+
+def test_contract_is_tested_on_staged_calls(spark, tmp_path):
+    from trustkpi.queries import tool_queries
+
+    spark.createDataFrame([(i, "view") for i in range(20)], "event_id bigint, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    out = tool_queries.validate(spark, str(tmp_path))
+    assert "md5" not in out._jdf.queryExecution().toString()
+    assert out.count() == 20 - sum(i % 10 < 8 and i % 13 in (1, 2) or i % 13 == 3 and i % 10 in (0, 1, 2, 3, 4, 5, 7) or i % 13 == 4 and i % 10 in (6, 7) for i in range(20))

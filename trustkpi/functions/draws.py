@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from trustkpi.functions.text import text_array
 
 
-def _digest(row_id: Column, seed: int, slot: str | Column) -> Column:
-    slot = F.lit(slot) if isinstance(slot, str) else slot
-    return F.md5(F.concat_ws("|", row_id.cast("string"), F.lit(str(seed)), slot))
+def _digest(row_id: Column, seed: int, slot: str, word: Column | None = None) -> Column:
+    # Seed and slot are one literal; a missing id leaves out its part.
+    head = F.coalesce(F.concat(row_id.cast("string"), F.lit("|")), F.lit(""))
+    tail = F.lit(f"{seed}|{slot}")
+    return F.md5(F.concat(head, tail) if word is None else F.concat(head, tail, word))
 
 
 def draw(row_id: Column, seed: int, slot: str) -> Column:
@@ -43,6 +45,7 @@ def sample(row_id: Column, seed: int, slot: str, values: Sequence[str], size: Co
     """``size`` of the values without replacement, in draw order."""
     keyed = F.transform(
         text_array(list(values)),
-        lambda v: F.struct(_digest(row_id, seed, F.concat(F.lit(slot), F.lit(":"), v)).alias("d"), v.alias("v")),
+        lambda v: F.struct(_digest(row_id, seed, slot + ":", v).alias("d"), v.alias("v")),
     )
-    return F.transform(F.slice(F.array_sort(keyed), F.lit(1), size), lambda s: s["v"])
+    # sort_array compares natively; array_sort would call a lambda for every comparison.
+    return F.slice(F.sort_array(keyed)["v"], F.lit(1), size)

@@ -145,7 +145,9 @@ def _spoiled(spark, folder):
 
 
 def validate(spark, folder):
-    return tc.valid_examples(_spoiled(spark, folder)).select("id", "category")
+    # Staged: a test on computed calls would move below the deal, with all that builds them repeated inside it.
+    rows = stage(_spoiled(spark, folder).select("id", "category", "tool_calls"), "records")
+    return tc.valid_examples(rows).select("id", "category")
 
 
 _HAS_KPI = "category IN ('clean', 'noisy', 'adversarial', 'multi_step')"
