@@ -84,3 +84,19 @@ def test_first_sentences(spark):
 def test_unknown_period(bad):
     with pytest.raises(ValueError):
         period(bad)
+
+
+def test_date_text_is_made_ready_once(spark):
+    assert dates.parse_date("t")._jc.toString().count("sept") == 1
+    assert "((" not in dates._ANY_SHAPE and "((:" not in dates._test(r"(a)\((?=b)")
+    got = spark.createDataFrame([("Tue, 3 Sept 2024",), ("2024-Q3",), ("31/12/1999T10:00",), ("1600-01-01",), ("9 May",), (None,)], "t string")
+    shown = [str(r[0]) for r in got.select(dates.parse_date("t")).collect()]
+    assert shown == ["2024-09-03 00:00:00", "2024-07-01 00:00:00", "1999-12-31 10:00:00", "None", "None", "None"]
+
+
+def test_tidy_texts_are_told_from_others(spark):
+    long = "w " * 50_000 + "x"
+    texts = ["a b", "a  b", "a ", " a", "a\n", "", " ", "\u00e9 b", "a\tb", long, None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.n for r in rows.select("i", text.normalize_text("t").alias("n")).orderBy("i").collect()]
+    assert got == ["a b", "a b", "a", "a", "a", None, None, "\u00e9 b", "a b", long, None]

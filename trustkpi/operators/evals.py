@@ -20,12 +20,19 @@ _EMPTY = ["", "[]", "{}", "0", "0.0", "false"]
 
 def strip_fences(text: Column) -> Column:
     """Text without a leading code fence (with optional ``json``) or a trailing one."""
-    return strip(F.regexp_replace(strip(text), r"^```(json)?|```$", ""))
+    bare = strip(text)
+    fenced = bare.startswith("```") | bare.endswith("```")
+    return F.when(fenced, strip(F.regexp_replace(bare, r"^```(json)?|```$", ""))).otherwise(bare)
 
 
 def parse_calls(text: Column) -> Column:
     """Calls of a JSON object with ``tool_calls``, NULL for any other text."""
-    bare = strip_fences(text)
+    # As an array's only element the bare text is made once for both readers.
+    bare = F.array(strip_fences(text))
+    return F.get(F.transform(bare, _json_calls), F.lit(0))
+
+
+def _json_calls(bare: Column) -> Column:
     return F.when(F.try_parse_json(bare).isNotNull(), F.from_json(bare, _CALLS)["tool_calls"])
 
 
