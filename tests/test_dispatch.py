@@ -53,3 +53,17 @@ def test_nothing_to_run_and_too_much(spark, monkeypatch):
     calls = spark.createDataFrame([("a", call("calculate_kpis"))], "dataset_id string, payload string")
     with pytest.raises(ValueError, match="different calls"):
         dispatch.dispatch(requests.classify(calls, calls), canonical)
+
+
+def test_results_are_read_once_each(spark):
+    raw = spark.createDataFrame([(i, *r) for i, r in enumerate(TRUST)], ["_pos", *TRUST_COLUMNS])
+    canonical = prepare(raw).canonical.withColumn("dataset_id", F.lit("trust"))
+    rows = spark.createDataFrame(
+        [(i, "trust", call("calculate_kpis", {"period": p, "n": i})) for i, p in enumerate(["D", "D", "fortnight"])],
+        "n int, dataset_id string, payload string",
+    )
+    known = spark.createDataFrame([("trust",)], "dataset_id string")
+    told = lambda result: {"total": F.get_json_object(result, "$.total_revenue").cast("double")}
+    got = dispatch.dispatch(requests.classify(rows, known), canonical, read=told).select("n", "is_error", "total")
+    assert "get_json_object" not in got._jdf.queryExecution().toString()
+    assert [(r.is_error, r.total) for r in got.orderBy("n").collect()] == [(False, 920.0), (False, 920.0), (True, None)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -76,12 +77,15 @@ def tool_results(tool: str, canonical: DataFrame, arguments: dict, keys: list[st
     )
 
 
-def dispatch(requests: DataFrame, canonical: DataFrame, key: str = "dataset_id") -> DataFrame:
+def dispatch(
+    requests: DataFrame, canonical: DataFrame, key: str = "dataset_id", read: Callable[[Column], dict[str, Column]] | None = None
+) -> DataFrame:
     """``requests`` (as ``classify`` gives them) with ``is_error`` and ``result``; errors also get a ``message``.
 
     Dispatched requests are grouped by tool and known arguments. Each group is one keyed plan over the rows of
     the datasets it asks for, whatever the number of its requests, and its results are joined
     back. Arguments a tool refuses, and datasets without usable rows, are errors of their requests alone.
+    ``read`` gives columns taken from a result's JSON; each result is read once, not once per request that gets it.
     """
     going = F.col("outcome") == "dispatch"
     rows = requests.withColumn("_args", F.when(going, known_arguments(F.col("tool"), F.col("arguments"))))
@@ -105,16 +109,22 @@ def dispatch(requests: DataFrame, canonical: DataFrame, key: str = "dataset_id")
             continue
         done.append(found.select(F.col(key), F.lit(tool).alias("tool"), F.lit(text).alias("_args"), "result"))
     spark = requests.sparkSession
-    results = [
-        stage(reduce(DataFrame.unionByName, done[at : at + TOGETHER]), "results") for at in range(0, len(done), TOGETHER)
-    ] or [spark.createDataFrame([], f"`{key}` {kind}, tool string, _args string, result string")]
+    none = spark.createDataFrame([], f"`{key}` {kind}, tool string, _args string, result string")
+    parts = [reduce(DataFrame.unionByName, done[at : at + TOGETHER]) for at in range(0, len(done), TOGETHER)] or [none]
+    results = [stage(p, "results") for p in parts]
+    taken = read(F.col("result")) if read else {}
+    if taken:
+        results = [stage(r.withColumns(taken), "read") for r in results]
+    # Whether there is a result is told apart from its text, which only those who ask for it need.
+    results = [r.withColumn("_held", F.col("result").isNotNull()) for r in results]
     reasons = spark.createDataFrame(refused, "tool string, _args string, _reason string")
     joined = attach(rows, reduce(DataFrame.unionByName, results), [key, "tool", "_args"])
     joined = attach(joined, reasons, ["tool", "_args"])
-    reason = F.when(F.col("outcome") == "dispatch", F.coalesce("_reason", F.when(F.col("result").isNull(), NO_ROWS)))
+    reason = F.when(F.col("outcome") == "dispatch", F.coalesce("_reason", F.when(~F.coalesce("_held", F.lit(False)), NO_ROWS)))
     failed = F.col("outcome").isin("error", "tool_error") | reason.isNotNull()
     kept = [c for c in requests.columns if c not in ("message", "result", "is_error")]
     return joined.select(
         *cols(kept), F.coalesce(reason, F.col("message")).alias("message"), failed.alias("is_error"),
         F.when(reason.isNull(), F.col("result")).alias("result"),
+        *[F.when(reason.isNull(), F.col(f"`{c}`")).alias(c) for c in taken],
     )

@@ -431,25 +431,32 @@ _ANSWER = (
 
 def request_results(spark, folder):
     """Requests of ten datasets of orders, two of them unknown, run and read back."""
-    rows = src.table(spark, folder, "events").selectExpr(
+    slim = src.table(spark, folder, "events").select("event_id", "user_id", "event_type")
+    rows = src.dealt(slim, "event_id").selectExpr(
         "event_id", "user_id % 12 AS dataset_id",
         f"'{{\"jsonrpc\":\"2.0\",\"id\":\"r' || event_id || '\",\"method\":\"tools/call\",\"params\":{{\"name\":\"' || {_TOOL} "
         f"|| '\",\"arguments\":' || {_CALL} || '}}}}' AS payload",
     )
-    canonical = src.sales(spark, folder).withColumn("dataset_id", F.col("id") % 10)
+    # Staged: every group of calls and the list of known datasets read these rows.
+    canonical = stage(src.sales(spark, folder).withColumn("dataset_id", F.col("id") % 10), "sales")
     known_sets = canonical.select("dataset_id")
-    done = dispatch(requests.classify(rows, known_sets), canonical)
-    a = F.col("a")
+    done = dispatch(requests.classify(rows, known_sets), canonical, read=_read_answer)
+    return done.select(
+        "event_id", "dataset_id", "tool", "is_error", "code",
+        F.when(F.col("outcome") == "dispatch", F.col("message").isNotNull()).alias("refused"), "total", "points", "recommended",
+    )
+
+
+def _read_answer(result):
+    a = F.from_json(result, _ANSWER)
     charts = F.coalesce(a["charts"], F.when(a["data_points"].isNotNull(), F.array(F.struct(F.lit("").alias("id"), a["data_points"].alias("data_points")))))
     points = F.flatten(F.transform(charts, lambda c: c["data_points"]))
     told = F.aggregate(points, F.lit(0.0), lambda x, p: x + p["y"])
-    return done.withColumn("a", F.from_json("result", _ANSWER)).select(
-        "event_id", "dataset_id", "tool", "is_error", "code",
-        F.when(F.col("outcome") == "dispatch", F.col("message").isNotNull()).alias("refused"),
-        F.round(F.coalesce(a["total_revenue"], told), 2).alias("total"),
-        F.coalesce(a["period_count"], F.size(points).cast("bigint")).alias("points"),
-        F.array_join(F.transform(a["recommendations"], lambda r: F.concat(r["chart_type"], F.lit(":"), r["x_field"])), "|").alias("recommended"),
-    )
+    return {
+        "total": F.round(F.coalesce(a["total_revenue"], told), 2),
+        "points": F.coalesce(a["period_count"], F.size(points).cast("bigint")),
+        "recommended": F.array_join(F.transform(a["recommendations"], lambda r: F.concat(r["chart_type"], F.lit(":"), r["x_field"])), "|"),
+    }
 
 
 REQUEST_RESULTS_SQL = f"""WITH sales AS ({src.SALES_SQL}),
