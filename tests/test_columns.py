@@ -56,3 +56,19 @@ def test_samples_are_the_first_values(spark):
     got = {(r.ds, r.column): r.sample_values for r in profile.samples(rows, ["ds"], ["texts", "whole", "nothing"]).collect()}
     assert got == {("d0", "texts"): ["t 0", "t 2", "t 4"], ("d1", "texts"): ["t 1", "t 3", "t 5"],
                    ("d0", "whole"): ["2", "4", "1"], ("d1", "whole"): ["1", "5", "0"]}
+
+
+def test_counts_are_staged_and_read_only_open_columns(spark, monkeypatch):
+    monkeypatch.setattr(column_state, "SKETCH_BITS", 4)
+    rows, asked = table(spark), []
+    state = column_state.column_state(column_state.long_rows(rows, ["ds"], ["texts", "whole"]), ["ds"], [])
+
+    def cells(names):
+        asked.append(names)
+        return column_state.long_rows(rows, ["ds"], names)
+
+    got = column_state.with_distinct(state, cells, ["ds"], F.lit(True))
+    assert asked == [["texts"]]
+    # Rules and presence both read the counts: neither may count the digests again.
+    assert "md5" not in got._jdf.queryExecution().toString()
+    assert {(r.ds, r.column): r.distinct for r in got.collect()}["d1", "texts"] == 200

@@ -82,7 +82,10 @@ def raw_state(raw: DataFrame, keys: Keys = ()) -> DataFrame:
     )
     wordy = ~F.col("integer") & ~F.col("number") & ~F.col("boolean")
     # More values than a sketch can count are too many for labels, unless the column may have as many labels.
-    return with_distinct(state, cells, keys, wordy & (most_labels(F.col("non_null")) >= exact_limit()))
+    return with_distinct(
+        state, lambda names: _cells(raw, keys, names), keys,
+        wordy & (most_labels(F.col("non_null")) >= exact_limit()),
+    )
 
 
 def column_rules(state: DataFrame, keys: Keys = ()) -> DataFrame:
@@ -109,10 +112,14 @@ def standardize(raw: DataFrame, keys: Keys = (), state: DataFrame | None = None)
     columns = data_columns(raw, keys, POSITION)
     rules = stage(column_rules(raw_state(raw, keys) if state is None else state, keys), "rules")
     ruled = attach(raw, rules, keys)
+    # Rule and tidy text of each cell first, so that the choice between the rules repeats neither.
+    ruled = ruled.select(
+        *cols([*keys, *_position(raw)]), *[text.normalize_text(F.col(f"`{c}`")).alias(f"_plain{i}") for i, c in enumerate(columns)],
+        *[F.col("rules")[c].alias(f"_rule{i}") for i, c in enumerate(columns)],
+    )
     out = []
-    for c in columns:
-        plain = text.normalize_text(F.col(f"`{c}`"))
-        rule = F.col("rules")[c]
+    for i, c in enumerate(columns):
+        plain, rule = F.col(f"_plain{i}"), F.col(f"_rule{i}")
         value = (
             F.when(rule == "text", plain)
             .when(rule == "label", text.title_case(plain))

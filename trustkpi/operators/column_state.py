@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +40,13 @@ def column_state(cells: DataFrame, keys: Keys, measures: Sequence[Column]) -> Da
     )
 
 
-def with_distinct(state: DataFrame, cells: DataFrame, keys: Keys, matters: Column) -> DataFrame:
+def with_distinct(
+    state: DataFrame, cells: Callable[[list[str]], DataFrame], keys: Keys, matters: Column
+) -> DataFrame:
     """``state`` with ``distinct``, exact wherever the sketch was or ``matters`` holds, else NULL for "too many".
 
-    Only cells of the columns still open are read again, and only their digests are shuffled.
+    Only columns still open are read again, as ``cells`` of their names, and only their digests are shuffled.
+    Staged then, because several results ask for the counts.
     """
     state = state.withColumn("_open", (F.col("at_least") >= exact_limit()) & matters)
     known = F.when(F.col("at_least") < exact_limit(), F.col("at_least"))
@@ -52,10 +55,11 @@ def with_distinct(state: DataFrame, cells: DataFrame, keys: Keys, matters: Colum
     if not names:
         return state.withColumn("distinct", known).drop("_open")
     asked = state.where("_open").select(*cols([*keys, "column"]), F.lit(True).alias("_asked"))
-    values = attach(cells.where(F.col("column").isin(names) & F.col("value").isNotNull()), asked, [*keys, "column"])
+    values = attach(cells(names).where(F.col("value").isNotNull()), asked, [*keys, "column"])
     digests = values.where("_asked").select(*cols([*keys, "column"]), F.unhex(F.md5("value")).alias("_digest")).distinct()
     counts = digests.groupBy(*cols([*keys, "column"])).agg(F.count(F.lit(1)).alias("_exact"))
-    return (
-        attach(state, counts, [*keys, "column"])
-        .withColumn("distinct", F.when(F.col("_open"), F.col("_exact")).otherwise(known)).drop("_open", "_exact")
+    found = attach(state, counts, [*keys, "column"])
+    return stage(
+        found.withColumn("distinct", F.when(F.col("_open"), F.col("_exact")).otherwise(known)).drop("_open", "_exact"),
+        "distinct",
     )

@@ -31,7 +31,7 @@ def profile(cleaned: DataFrame, keys: Keys = (), order: DataFrame | None = None)
             F.coalesce(F.bool_and("strict"), F.lit(False)).alias("_all_numeric"),
         ],
     )
-    counts = with_distinct(state, cells, keys, F.lit(True)).where("non_null > 0")
+    counts = with_distinct(state, lambda names: long_rows(cleaned, keys, names), keys, F.lit(True)).where("non_null > 0")
     if order is None:
         counts = counts.withColumn("pos", F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column")) - 1)
     else:
