@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,7 +48,14 @@ DATE_SHAPES = [
 _ZONED = rf"^{_YEAR}-\d{{2}}-\d{{2}}[ T]\d{{2}}:\d{{2}}(:\d{{2}}(\.\d{{1,9}})?)?(Z|[+-]\d{{2}}:?\d{{2}})$"
 _WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +"
 _QUARTER = rf"^{_YEAR}[- ]?[Qq]([1-4])$"
-_ANY_SHAPE = "|".join([*(shape for shape, _ in DATE_SHAPES), _ZONED, _QUARTER])
+
+
+def _test(pattern: str) -> str:
+    """The pattern without captures, which every search would have to reset."""
+    return re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern)
+
+
+_ANY_SHAPE = _test("|".join([*(shape for shape, _ in DATE_SHAPES), _ZONED, _QUARTER]))
 
 
 def parse_date(c: Column | str) -> Column:
@@ -55,8 +64,14 @@ def parse_date(c: Column | str) -> Column:
     Two-digit years from 69 on lie in the 1900s.
     """
     raw = F.regexp_replace(F.regexp_replace(F.trim(as_column(c)), _WEEKDAY, ""), r"(?i)\bsept\b", "Sep")
+    first, last = (F.lit(t).cast("timestamp") for t in (_FIRST, _LAST))
+    # As an array's only element the text is made ready once for all shapes, and the long expression is evaluated once.
+    return F.get(F.filter(F.transform(F.array(raw), _parsed), lambda x: x.between(first, last)), F.lit(0))
+
+
+def _parsed(raw: Column) -> Column:
     text = F.regexp_replace(raw, r"(?<=\d)T(?=\d)", " ")
-    parsed = F.when(raw.rlike(_ZONED), raw.try_cast("timestamp"))
+    parsed = F.when(raw.rlike(_test(_ZONED)), raw.try_cast("timestamp"))
     for shape, patterns in DATE_SHAPES:
         subject = text if "[ T]" in shape else raw
         attempts = [F.try_to_timestamp(subject, F.lit(p)) for p in patterns]
@@ -64,7 +79,7 @@ def parse_date(c: Column | str) -> Column:
         if "yy" in patterns[0] and "yyyy" not in patterns[0]:
             late = F.year(value) >= 2069
             value = F.when(late, value - F.expr("INTERVAL 100 YEAR")).otherwise(value)
-        parsed = parsed.when(raw.rlike(shape), value)
+        parsed = parsed.when(raw.rlike(_test(shape)), value)
     quarter = F.try_to_timestamp(
         F.concat_ws(
             "-",
@@ -73,9 +88,6 @@ def parse_date(c: Column | str) -> Column:
         ),
         F.lit("yyyy-M"),
     )
-    parsed = parsed.when(raw.rlike(_QUARTER), quarter)
+    parsed = parsed.when(raw.rlike(_test(_QUARTER)), quarter)
     # One test turns away everything that has no date shape at all.
-    found = F.when(raw.rlike(_ANY_SHAPE), parsed)
-    first, last = (F.lit(t).cast("timestamp") for t in (_FIRST, _LAST))
-    # As an array's only element the long expression is evaluated once.
-    return F.get(F.filter(F.array(found), lambda x: x.between(first, last)), F.lit(0))
+    return F.when(raw.rlike(_ANY_SHAPE), parsed)
